@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimweft-"))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable on every executor, wherever the driver found it. Once for each context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_claimweft_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="claimweft-")) / "claimweft.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(root.rglob("*")):
+                if file.is_file() and "__pycache__" not in file.parts:
+                    z.write(file, os.path.join(root.name, file.relative_to(root)))
+        sc.addPyFile(str(target))
+        sc._claimweft_shipped = True
+    return spark
