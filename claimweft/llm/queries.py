@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweft.llm.canonical import map_to_canonical
+from claimweft.llm.leak import find_leaks
 from claimweft.llm.split import oversized, split_oversized
 from claimweft.llm.tokenize import decode_documents, encode_documents
 from claimweft.sources.tables import read_table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields in one pass: the two lists share a table, told apart by the field's name."""
+    hits = read_table(spark, d, "fact_check_hit")
+    ratings = map_to_canonical(
+        hits.select("fc_id", F.lit("rating").alias("field_name"), F.col("rating").alias("value")), "value",
+        read_table(spark, d, "rating_list"), "rating_id", ["label", "aliases"],
+    )
+    publishers = map_to_canonical(
+        hits.select("fc_id", F.lit("publisher").alias("field_name"), F.col("publisher").alias("value")), "value",
+        read_table(spark, d, "publisher_list"), "publisher_id", ["name"], ["short_name"],
+    )
+    return ratings.unionByName(publishers).select("fc_id", "field_name", "ref_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = oversized(read_table(spark, d, "extracted_page").select("page_id", "text"))
     cut = split_oversized(pages).filter(F.size("pieces") > 1)
@@ -38,6 +54,16 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: the documents that hold it, and the longest passage found."""
+    leaks = find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_item"))
+    return leaks.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("n_words").alias("longest"), F.min("n_edits").alias("fewest_edits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
