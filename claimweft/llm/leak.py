@@ -93,44 +93,46 @@ def _seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, known
 
 
-def candidates(doc_of: np.ndarray, pos: np.ndarray, words: np.ndarray, items: Items, min_seeds: int, slack: int) -> np.ndarray:
+def candidates(doc_of: np.ndarray, pos: np.ndarray, words: np.ndarray, items: Items, min_seeds: int, slack: int) -> list[tuple[int, int, int, int]]:
     """Rows (document, item, diagonal low, diagonal high) with enough seeds on nearby diagonals, a rare one among them."""
     key, known = _seeds(words)
     n = len(key)
     if not n or not len(items.seeds):
-        return np.empty((0, 4), np.int64)
+        return []
     at = np.flatnonzero(known & (doc_of[:n] == doc_of[SEED - 1:SEED - 1 + n]))
     slot = np.searchsorted(items.seeds, key[at])
     slot[slot == len(items.seeds)] = 0
     hit = items.seeds[slot] == key[at]
     at, slot = at[hit], slot[hit]
+    if not len(at):
+        return []
     count = items.starts[slot + 1] - items.starts[slot]
     entry = np.repeat(items.starts[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
     at, rare = np.repeat(at, count), np.repeat(items.rare[slot], count)
     item, ipos = items.item_of[entry], items.pos_of[entry]
     doc, diagonal = doc_of[at], pos[at] - ipos
-    out = []
-    width = 2 * slack
-    for shift in (0, slack):  # two overlapping bins, so that diagonals within the slack share one of them
-        bucket = (diagonal + shift + (1 << 20)) // width
-        group = np.stack([doc, item, bucket], 1)
-        _, inverse = np.unique(group, axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        pairs = np.unique(np.stack([inverse, ipos], 1), axis=0)
-        size = np.bincount(pairs[:, 0]) if len(pairs) else np.empty(0, np.int64)
-        has_rare = np.zeros(len(size), bool)
-        has_rare[inverse[rare]] = True
-        ok = (size >= min_seeds) & has_rare
-        keep = np.flatnonzero(ok[inverse]) if len(size) else np.empty(0, np.int64)
-        if len(keep):
-            low = np.full(len(size), np.iinfo(np.int64).max)
-            high = np.full(len(size), np.iinfo(np.int64).min)
-            np.minimum.at(low, inverse[keep], diagonal[keep])
-            np.maximum.at(high, inverse[keep], diagonal[keep])
-            first = np.unique(inverse[keep], return_index=True)[1]
-            g = inverse[keep][first]
-            out.append(np.stack([doc[keep][first], item[keep][first], low[g], high[g]], 1))
-    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+    # One key of 15 bits of the document in its batch, 22 of the item and 26 of the bin of diagonals.
+    base, width, out = doc << 48 | item << 26, 2 * slack, []
+    for shift in (0, slack):  # two overlapping rows of bins, so that diagonals within the slack share one of them
+        key = base | (diagonal + shift + (1 << 20)) // width
+        order = np.lexsort((ipos, key))
+        key, place, top = key[order], ipos[order], rare[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(fresh)
+        fresh[1:] |= place[1:] != place[:-1]
+        good = (np.add.reduceat(fresh.astype(np.int64), start) >= min_seeds) & (np.add.reduceat(top.astype(np.int64), start) > 0)
+        end = np.append(start[1:], len(key))
+        for s, e in zip(start[good], end[good]):
+            d = diagonal[order[s:e]]
+            out.append((doc[order[s]], item[order[s]], d.min(), d.max()))
+    merged: dict[tuple[int, int], list[list[int]]] = {}
+    for d, i, low, high in sorted(map(tuple, np.array(out, np.int64).reshape(-1, 4).tolist())):
+        spans = merged.setdefault((d, i), [])
+        if spans and low <= spans[-1][1] + width:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+    return [(d, i, low, high) for (d, i), spans in merged.items() for low, high in spans]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -2, gap: int = -1) -> list[tuple[int, int]]:
@@ -177,10 +179,11 @@ def best_window(path: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, min_w
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    min_words: int = 20, max_edits: float = 0.125, rare_items: int = 3, min_seeds: int = 6, slack: int = 6, block_words: int = 2_000_000,
+    min_words: int = 20, max_edits: float = 0.125, rare_items: int = 3, min_seeds: int = 8, slack: int = 6, block_words: int = 2_000_000,
 ) -> DataFrame:
     """One row (doc_id, item_id, n_words, n_edits) per document and item whose passage it holds.
 
+    A passage of n words with e edits keeps at least n - 3 - 4e seeds, so 20 words with two edits keep nine.
     ``items`` is read to the driver block by block, ``block_words`` words at most in each; every block takes one pass
     over the documents, so that memory stays bounded however many items there are.
     """
@@ -211,7 +214,7 @@ def find_leaks(
                 doc_of = np.repeat(np.arange(len(parts)), size)
                 pos = np.arange(first[-1]) - first[doc_of]
                 rows_out: dict[tuple[int, int], tuple[int, int]] = {}
-                for d, i, low, high in candidates(doc_of, pos, np.concatenate([*parts, np.empty(0, np.int64)]), known, min_seeds, slack).tolist():
+                for d, i, low, high in candidates(doc_of, pos, np.concatenate([*parts, np.empty(0, np.int64)]), known, min_seeds, slack):
                     a = known.words[i]
                     start = max(0, low - 2 * slack)
                     b = parts[d][start:high + len(a) + 2 * slack]
