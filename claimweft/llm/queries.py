@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweft.llm.canonical import map_to_canonical
 from claimweft.llm.leak import find_leaks
+from claimweft.llm.spam import find_stuffed, fit_prose_model
 from claimweft.llm.split import oversized, split_oversized
 from claimweft.llm.tokenize import decode_documents, encode_documents
 from claimweft.sources.tables import read_table
@@ -64,6 +65,21 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("n_words").alias("longest"), F.min("n_edits").alias("fewest_edits"))
 
 
+def _stuffed(spark: SparkSession, d: str) -> DataFrame:
+    model = fit_prose_model(read_table(spark, d, "lang_sample"), read_table(spark, d, "eval_item"), read_table(spark, d, "claim"))
+    return find_stuffed(read_table(spark, d, "documents"), model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stuffed(spark, d).filter("odd_share > 0.5").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How far pages are from prose: documents and words by the tenth of odd words, in bounded groups."""
+    tenth = F.least(F.floor(F.col("odd_share") * 10), F.lit(9)).cast("int").alias("tenth")
+    return _stuffed(spark, d).groupBy(tenth).agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.avg("nats").alias("nats"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
