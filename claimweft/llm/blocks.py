@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK, ARTICLE, FURNITURE = -1, 0, 1
-BUCKETS, WORD_DIM, HIDDEN = 4096, 16, 24
+BUCKETS, WORD_DIM, HIDDEN = 8192, 16, 28
 #: Leaves of one reading, and the overlap of consecutive readings of a longer page.
 WINDOW, OVERLAP = 192, 32
 #: Lines whose vectors are kept per Python worker.
@@ -37,6 +37,7 @@ _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _MARK = re.compile(r"^\s*(?:#{1,6}|>+)\s+")
 _ITEM = re.compile(r"^(?:[-*+•]|\d+[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_UPPER, _DIGIT, _MARKS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"\d"), re.compile(r"[|/·»›>–•]")
 _STOP = re.compile(r"[.!?…][”»“\"’)]*(?:\s|\Z)")
 
 
@@ -68,15 +69,15 @@ def tag_path(line: str) -> list[float]:
     text = plain_line(s)
     n = len(text.split())
     stops = len(_STOP.findall(text))
-    letters = [c for c in text if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
-    digits = sum(c.isdigit() for c in text) / max(1, len(text))
-    marks = sum(text.count(c) for c in "|/·»›>–•")
+    size = max(1, len(text))
+    upper = len(_UPPER.findall(text)) / size
+    digits = len(_DIGIT.findall(text)) / size
+    marks = len(_MARKS.findall(text))
     return [
         heading == 1, heading == 2, heading > 2, bool(item) and s[0] in "-+•", bool(item) and s[0] == "*", bool(item) and s[0].isdigit(),
         bool(links), bool(links) and linked >= 0.9 * len(plain_line(rest)), len(links) > 1, s.startswith("!["), s.startswith("**") and s.endswith("**"),
         s.startswith(">"), s.startswith("+++"), bool(stops) and bool(_STOP.search(text[-4:])), stops == 0, stops == 1, stops > 1, min(n, 40) / 20,
-        n <= 1, n <= 3, n <= 8, n > 25, upper > 0.9, upper, digits, marks > 0, min(marks, 8) / 4, "©" in s, s.endswith(":"), ":" in s[:60],
+        n <= 1, n <= 3, n <= 8, n > 25, upper > 0.6, upper, digits, marks > 0, min(marks, 8) / 4, "©" in s, s.endswith(":"), ":" in s[:60],
         "   " in s, s[:1] in "“„«\"‘", "?" in text, text[:1].islower(),
     ]
 
@@ -313,7 +314,7 @@ def article_text(pages: DataFrame, text_col: str = "text", out_col: str = "artic
     return pages.mapInArrow(run, schema)
 
 
-def fit(pages: list[tuple[str, list[int]]], epochs: int = 8, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(pages: list[tuple[str, list[int]]], epochs: int = 10, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights from (text, label of each line) by backpropagation through time with Adam; weak labels are smoothed a little."""
     rng = np.random.default_rng(seed)
     reader = Reader()

@@ -8,13 +8,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweft.llm.canonical import map_to_canonical
+from claimweft.llm.lang import SURE, declared, detect_column, detect_lines, fit_language_code
 from claimweft.llm.leak import find_leaks
-from claimweft.llm.spam import find_stuffed, fit_prose_model
+from claimweft.llm.residue import find_residue, page_signs, snippet_signs
+from claimweft.llm.spam import find_stuffed, fit_prose_model, function_words_of
 from claimweft.llm.split import oversized, split_oversized
 from claimweft.llm.tokenize import decode_documents, encode_documents
+from claimweft.session import cut_lineage
 from claimweft.sources.tables import read_table
 
 
+def _function_words(spark: SparkSession, d: str) -> frozenset[str]:
+    rows = read_table(spark, d, "lang_sample").filter("text is not null").select("lang", "text").limit(4_000).collect()
+    return function_words_of([(r[0], r[1]) for r in rows])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    code = fit_language_code(read_table(spark, d, "lang_sample"), read_table(spark, d, "eval_item"))
+    words = _function_words(spark, d)
+    signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), words, code, keep=("language",)).drop("text_lines", "markdown_lines"))
+    left_out = find_residue(signs.drop("page_lang", "page_sure", "foreign", "language"))
+    pages = signs.join(left_out, ["src", "row_id"], "left_anti").filter("page_lang is not null")
+    wrong = declared("language").isNull() | (declared("language") != F.col("page_lang"))
+    by_page = pages.filter(wrong).select(F.lit("page").alias("src"), F.col("row_id").cast("string").alias("row_key"), F.lit(0).alias("line_no"), F.col("page_lang").alias("lang"))
+    by_line = pages.select("row_id", F.inline("foreign")).select(F.lit("page").alias("src"), F.col("row_id").cast("string").alias("row_key"), "line_no", "lang")
+
+    checks = detect_column(read_table(spark, d, "fact_check_hit").select("fc_id", "language", "claimText"), code, "claimText", "lang", "sure")
+    label = declared("language")
+    off = F.col("lang").isNotNull() & (label.isNull() | (label != F.col("lang")) & (F.col("sure") >= SURE))
+    by_check = checks.filter(off).select(F.lit("fact_check").alias("src"), F.col("fc_id").cast("string").alias("row_key"), F.lit(0).alias("line_no"), "lang")
+
+    claims = read_table(spark, d, "claim").select("id", "page_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n"))
+    lines = detect_column(claims.filter(F.col("line").rlike(r"\p{L}")), code, "line", "lang", "sure").filter(F.col("sure") >= SURE)
+    of_page = pages.select(F.col("row_id").alias("page_id"), "page_lang")
+    by_claim = lines.select("id", "page_id", "pos", "n", "lang").join(of_page, "page_id").filter("lang <> page_lang").select(
+        F.lit("claim").alias("src"), F.col("id").alias("row_key"), F.when(F.col("n") > 1, F.col("pos") + 1).otherwise(0).alias("line_no"), "lang")
+    return by_page.unionByName(by_line).unionByName(by_check).unionByName(by_claim).distinct()
+
+
+def p1_document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of documents were decided for each language, and how many of them are ambiguous."""
+    code = fit_language_code(read_table(spark, d, "lang_sample"), read_table(spark, d, "eval_item"))
+    lines = detect_lines(read_table(spark, d, "documents"), code, "doc_id")
+    return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.count_if("ambiguous").alias("ambiguous"), F.avg("sure").alias("sure"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    words = _function_words(spark, d)
+    pages = page_signs(read_table(spark, d, "extracted_page"), words).drop("text_lines", "markdown_lines")
+    return find_residue(cut_lineage(pages.unionByName(snippet_signs(read_table(spark, d, "search_hit"), words))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), _function_words(spark, d)))
+    left_out = find_residue(signs.drop("text_lines", "markdown_lines"))
+    lines = signs.join(left_out, ["src", "row_id"], "left_anti")
+    fields = [F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_lines").alias("lines")) for f in ("text", "markdown")]
+    named = lines.select(F.col("row_id").alias("page_id"), F.inline(F.array(*fields)))
+    return named.select("page_id", "field_name", F.explode("lines").alias("line_no"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Both fields in one pass: the two lists share a table, told apart by the field's name."""
     hits = read_table(spark, d, "fact_check_hit")

@@ -2,7 +2,7 @@
 
 Used once, offline, to train the weights that the package ships (``python -m claimweft.llm.train_blocks``); no query runs
 it. A line is furniture where its form or its spread over hosts says so: it is an image or only links, it occurs on
-several hosts in words that no claim uses, it is made of such phrases, it is linked as a teaser elsewhere on the same
+several hosts in words that no claim uses, it is made of such phrases or of words that such lines alone use, it is linked as a teaser elsewhere on the same
 host, or it is an item below a heading that mostly stands above linked teasers.
 """
 
@@ -61,6 +61,13 @@ class WeakLabeller:
         self.short = {k for k in self.phrases if len(k) < 40}
         self.leads = {k for k, h in leads.items() if len(h) >= hosts and (self.foreign(k) >= 0.5 or len(h) >= 5 * hosts and len(k.split()) > 1)}
         self.composed: dict[str, bool] = {}
+        self.own: set[str] = set()
+        on, off = Counter(), Counter()
+        for url, markdown in pages[:: max(1, len(pages) // 12_000)]:
+            for line, label in zip(markdown.split("\n"), self.label(url, markdown)):
+                if label != BLANK:
+                    (on if label == FURNITURE else off).update(set(letters(bare_line(line))))
+        self.own = {w for w, n in on.items() if n >= 15 and w not in self.words and n >= 1.5 * off[w]}
 
     def foreign(self, key: str) -> float:
         words = letters(key)
@@ -77,6 +84,11 @@ class WeakLabeller:
             self.composed[key] = key in self.phrases or self._parts(_PARTS.split(key)) or self._parts(_SENTENCES.split(key)) or self._covered(key)
         return self.composed[key]
 
+    def in_own_words(self, line: str) -> bool:
+        """A quarter of the words, and two at least, are such as only furniture uses."""
+        words = letters(bare_line(line))
+        return sum(w in self.own for w in words) >= max(2, 0.25 * len(words))
+
     def _parts(self, parts: list[str]) -> bool:
         parts = [p for p in parts if p]
         return len(parts) > 1 and sum(p in self.phrases for p in parts) >= 0.6 * len(parts)
@@ -103,7 +115,7 @@ class WeakLabeller:
             key = self.key(line, host)
             furniture = not re.match(r"\s*# ", line) and (
                 line.lstrip().startswith(("![", "+++")) or bool(_LINKS_ONLY.fullmatch(line)) or "©" in line or bare_line(line) in self.teasers[host]
-                or ":" in key and key.split(":")[0] in self.leads or self.is_composed(key) or self.is_composed(self.key(line, host, False))
+                or ":" in key and key.split(":")[0] in self.leads or self.is_composed(key) or self.is_composed(self.key(line, host, False)) or self.in_own_words(line)
             )
             out.append(FURNITURE if furniture else ARTICLE)
         self._below_headings(host, lines, out)
