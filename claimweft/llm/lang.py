@@ -28,7 +28,7 @@ BUCKETS = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 MEMO = 300_000
 #: Least confidence at which a decision isn't ambiguous.
-SURE = 0.15
+SURE = 0.3
 
 #: Names under which a language is declared, besides its two- and three-letter codes.
 DECLARED = {
