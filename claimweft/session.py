@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,6 +42,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what streams write and read again, below the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="claimweft-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Make this package importable on every executor, wherever the driver found it. Once for each context."""
     sc = spark.sparkContext
