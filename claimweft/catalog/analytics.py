@@ -14,7 +14,7 @@ from claimweft.operators.align import best_aligned, strongest
 from claimweft.operators.chunk import lines, markdown_chunks
 from claimweft.operators.search import top_per_key
 from claimweft.operators.select import select_chunks
-from claimweft.sources.tables import read_table
+from claimweft.sources.tables import read_table, spread
 
 # --- Term weights -----------------------------------------------------------------------------------------------------
 
@@ -27,7 +27,7 @@ _W = _TF + "r2 AS (SELECT * FROM r WHERE df >= 2 AND df <= 0.95 * n), l AS (SELE
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").filter("text is not null")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text").filter("text is not null"))
 
 
 @query(_W + "SELECT doc_id, round(sum(weight), 4) AS importance, count(*) AS terms FROM w GROUP BY 1")
@@ -204,7 +204,7 @@ def topic_selection(spark: SparkSession, d: str) -> DataFrame:
 def _claim_lines(spark: SparkSession, d: str) -> DataFrame:
     claims = read_table(spark, d, "claim").select("id", "page_id", F.col("text").alias("claim"))
     pages = lines(read_table(spark, d, "extracted_page").filter("text is not null"), ["page_id"])
-    return claims.join(pages.select("page_id", "pos", "chunk"), "page_id")
+    return spread(claims.join(pages.select("page_id", "pos", "chunk"), "page_id"))
 
 
 @query()

@@ -12,7 +12,7 @@ from claimweft.functions.jsonx import delta_text
 from claimweft.models import ports
 from claimweft.operators.chunk import lines, long_chunks, page_gate
 from claimweft.sinks.text import log_line
-from claimweft.sources.tables import read_table
+from claimweft.sources.tables import read_table, spread
 
 HTML = "concat('<html lang=\"', coalesce(language, ''), '\"><head><title> ', coalesce(title, ''), ' </title></head><body><nav>Home</nav><svg><path d=\"M0\"/></svg><img src=\"a.png\"><p class=\"x\">', replace(coalesce(text, ''), '&', '&amp;amp;'), '</p><!-- c --><footer>end</footer></body></html>')"
 
@@ -206,7 +206,7 @@ SELECT doc_id, CASE WHEN votes > 0 AND votes / (votes + next) > 0.5 THEN lang EN
 
 @query(_sql_votes())
 def language_votes(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").filter("text is not null")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text").filter("text is not null"))
     return docs.select("doc_id", ports.language_votes(F.col("text")).alias("v")).select("doc_id", "v.lang", F.col("v.votes").cast("bigint").alias("votes"), "v.confidence")
 
 

@@ -26,16 +26,19 @@ def language_votes(text: Column) -> Column:
     """Struct (lang, votes, confidence): the language whose frequent words occur most; null under a confidence of 0.5.
 
     The first 1,000 characters decide, as a detector's input does."""
-    words = F.split(plain_words(F.left(text, F.lit(1000))), " ")
+    words = F.concat(F.lit(" "), plain_words(F.left(text, F.lit(1000))), F.lit(" "))
 
     def votes_for(stops: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(stops)))
+        return F.regexp_count(words, F.lit(f"(?<= )(?:{'|'.join(stops)})(?= )"))
 
     votes = [F.struct(votes_for(s.split()).alias("votes"), F.lit(lang).alias("lang")) for lang, s in STOP_WORDS.items()]
-    ranked = F.sort_array(F.array(*votes), asc=False)
-    first, second = ranked[0], ranked[1]
-    confidence = F.when(first["votes"] > 0, first["votes"] / (first["votes"] + second["votes"]))
-    return F.struct(F.when(confidence > 0.5, first["lang"]).alias("lang"), first["votes"].alias("votes"), F.round(confidence, 6).alias("confidence"))
+    def decided(ranked: Column) -> Column:
+        first, second = ranked[0], ranked[1]
+        confidence = F.when(first["votes"] > 0, first["votes"] / (first["votes"] + second["votes"]))
+        return F.struct(F.when(confidence > 0.5, first["lang"]).alias("lang"), first["votes"].alias("votes"), F.round(confidence, 6).alias("confidence"))
+
+    # The ranking is bound to a variable, so that it is worked out once and not at each mention.
+    return F.transform(F.array(F.sort_array(F.array(*votes), asc=False)), decided)[0]
 
 
 def _content(text: Column) -> Column:

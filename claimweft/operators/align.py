@@ -91,6 +91,45 @@ def align(a: list[str], b: list[str], trace: bool = True) -> Alignment:
     return Alignment(score, " ".join(left[::-1]), " ".join(right[::-1]), matches, mismatches, gaps)
 
 
+def scores(left: list[list[str]], right: list[list[str]], cells: int = 1 << 22) -> np.ndarray:
+    """Scores of many pairs at once: pairs of similar size share a batch, whose score rows are one array."""
+    out = np.zeros(len(left))
+    ids: dict[str, int] = {}
+    a = [np.array([ids.setdefault(x, len(ids)) for x in s], np.int32) for s in left]
+    b = [np.array([ids.setdefault(x, len(ids)) for x in s], np.int32) for s in right]
+    order = sorted((k for k in range(len(a)) if len(a[k]) and len(b[k])), key=lambda k: (len(b[k]), len(a[k])))
+    begin = 0
+    while begin < len(order):
+        longest = len(b[order[begin]])
+        end = begin + 1
+        while end < len(order) and len(b[order[end]]) <= longest * 1.3 + 4 and (end - begin + 1) * (len(b[order[end]]) + 1) <= cells // 16:
+            end += 1
+        group = order[begin:end]
+        n, m = max(len(a[k]) for k in group), len(b[group[-1]])
+        x, y = np.full((len(group), n), -1, np.int32), np.full((len(group), m), -2, np.int32)
+        for g, k in enumerate(group):
+            x[g, :len(a[k])], y[g, :len(b[k])] = a[k], b[k]
+        h, top = np.zeros((len(group), m + 1), np.int32), np.zeros(len(group), np.int32)
+        ramp = -GAP * np.arange(1, m + 1, dtype=np.int32)
+        for i in range(n):
+            best = np.maximum(np.maximum(h[:, :-1] + np.where(y == x[:, i:i + 1], MATCH, MISMATCH), h[:, 1:] + GAP), 0)
+            h[:, 1:] = np.maximum.accumulate(best + ramp, 1) - ramp
+            np.maximum(top, h.max(1), out=top)
+        short = np.array([min(len(a[k]), len(b[k])) for k in group])
+        out[group] = top / (MATCH * short)
+        begin = end
+    return out
+
+
+def score_column(left: Column, right: Column, letters: bool = False) -> Column:
+    """Scores alone, in batches; most pairs of a search need no more."""
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(scores([sequence(x, letters) for x in a], [sequence(x, letters) for x in b]))
+
+    return run(left, right)
+
+
 def alignment_column(left: Column, right: Column, letters: bool = False, trace: bool = True) -> Column:
     """Struct RESULT of two text columns."""
     @F.pandas_udf(RESULT)
@@ -101,10 +140,12 @@ def alignment_column(left: Column, right: Column, letters: bool = False, trace:
 
 
 def best_aligned(pairs: DataFrame, key: list[str], left: str, right: str, pos: str, n: int = 3, letters: bool = False) -> DataFrame:
-    """The ``n`` best right sides of each key, by score and then by position."""
-    scored = pairs.withColumn("sw", alignment_column(F.col(left), F.col(right), letters))
-    flat = scored.select(*key, pos, right, F.round("sw.score", 6).alias("score"), "sw.matches", "sw.mismatches", "sw.gaps", F.col("sw.left").alias("aligned"))
-    return top_per_key(flat.filter("score > 0"), key, n, F.desc("score"), F.asc(pos))
+    """The ``n`` best right sides of each key, by score and then by position. Only the winners are traced."""
+    keys = list(dict.fromkeys([*key, left]))
+    scored = pairs.select(*keys, pos, right, F.round(score_column(F.col(left), F.col(right), letters), 6).alias("score"))
+    best = top_per_key(scored.filter("score > 0"), key, n, F.desc("score"), F.asc(pos))
+    traced = best.withColumn("sw", alignment_column(F.col(left), F.col(right), letters))
+    return traced.select(*key, pos, right, "score", "sw.matches", "sw.mismatches", "sw.gaps", F.col("sw.left").alias("aligned"), "rank")
 
 
 def strongest(scores: DataFrame, key: list[str], score: str = "score", pos: str = "pos", first: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@
 A key's events are brought together and sorted by Spark, then read once in order with a small state, batch after batch:
 a hot key is long but never held in memory. Before that, keys are cut where the fold forgets: an event that comes
 ``gap`` or more after its predecessor is emitted whatever came before, so such stretches are independent and a hot key
-spreads over many tasks.
+spreads over many tasks. A stretch that itself never pauses is still read by one task, in constant memory.
 """
 
 from __future__ import annotations
@@ -18,12 +18,24 @@ from pyspark.sql import types as T
 from claimweft.functions.time import micros
 
 
-def stretches(events: DataFrame, keys: list[str], gap_ms: int, time: str = "ts", tie: str = "event_id", out: str = "stretch") -> DataFrame:
-    """Number of the stretch that an event belongs to: a new one begins ``gap_ms`` or more after the event before."""
-    w = Window.partitionBy(*keys).orderBy(time, tie)
-    before = F.lag(micros(time)).over(w)
-    fresh = (before.isNull() | (micros(time) - before >= gap_ms * 1000)).cast("int")
-    return events.withColumn(out, F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def stretches(events: DataFrame, keys: list[str], gap_ms: int, time: str = "ts", tie: str = "event_id", out: str = "stretch", bucket_s: int = 86_400) -> DataFrame:
+    """Number of the stretch that an event belongs to: a new one begins ``gap_ms`` or more after the event before.
+
+    Windows run over a key's events of one stretch of the clock (``bucket_s``) only, so a hot key is many tasks; the few
+    rows a key and bucket (last time, number of beginnings) are then put in order to join the buckets up."""
+    place = F.floor(micros(time) / (bucket_s * 1_000_000))
+    placed = events.withColumn("_us", micros(time)).withColumn("_b", place)
+    w = Window.partitionBy(*keys, "_b").orderBy("_us", tie)
+    before = F.lag("_us").over(w)
+    inner = placed.withColumn("_new", F.when(before.isNull(), 0).otherwise((F.col("_us") - before >= gap_ms * 1000).cast("int")))
+    inner = inner.withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    by = inner.groupBy(*keys, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max("_n").alias("_inside"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    last = F.lag("_last").over(order)
+    by = by.withColumn("_fresh", (last.isNull() | (F.col("_first") - last >= gap_ms * 1000)).cast("int"))
+    by = by.withColumn("_base", F.sum(F.col("_fresh") + F.col("_inside")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside"))
+    met = inner.join(by.select(*keys, "_b", "_base"), [*keys, "_b"])
+    return met.withColumn(out, F.col("_base") + F.col("_n")).select(*events.columns, out)
 
 
 def thin_out(events: DataFrame, keys: list[str], gap_ms: int = 3_000, time: str = "ts", tie: str = "event_id") -> DataFrame:
