@@ -202,9 +202,9 @@ def topic_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _claim_lines(spark: SparkSession, d: str) -> DataFrame:
-    claims = read_table(spark, d, "claim").select("id", "page_id", F.col("text").alias("claim"))
+    claims = spread(read_table(spark, d, "claim").select("id", "page_id", F.col("text").alias("claim")))
     pages = lines(read_table(spark, d, "extracted_page").filter("text is not null"), ["page_id"])
-    return spread(claims.join(pages.select("page_id", "pos", "chunk"), "page_id"))
+    return claims.join(pages.select("page_id", "pos", "chunk"), "page_id")
 
 
 @query()

@@ -42,7 +42,7 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
     """Mean of the vectors whose mask is 1; an empty mask gives zeros."""
     weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
     kept = F.zip_with(vectors, mask, lambda v, m: F.transform(as_double(v), lambda x: x * m))
-    zero = F.transform(as_double(vectors[0]), lambda x: x * 0.0)
+    zero = F.transform(as_double(F.get(vectors, 0)), lambda x: x * 0.0)
     total = F.aggregate(kept, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
     return F.transform(total, lambda x: x / weight)
 

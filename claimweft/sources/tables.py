@@ -11,7 +11,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores, dealt out to all of them before costly work on its rows.
+    """For a scan, not for a shuffled result: a table of fewer splits than there are cores, dealt out to all of them before costly work on its rows.
 
     A table that is large enough to have a split for every core is left as it is, so nothing large is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -24,7 +24,7 @@ def sse_frames(bodies: DataFrame, keys: list[str], body: str = "body") -> DataFr
     counts; ``[DONE]`` ends the stream; data that isn't JSON is skipped."""
     parts = F.split(F.regexp_replace(body, "\r\n", "\n"), "\n\n")
     events = bodies.select(*keys, F.posexplode(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "event"))
-    data = F.trim(F.regexp_replace(F.element_at(F.filter(F.split("event", "\n"), lambda x: x.startswith("data:")), 1), "^data:", ""))
+    data = F.trim(F.regexp_replace(F.get(F.filter(F.split("event", "\n"), lambda x: x.startswith("data:")), 0), "^data:", ""))
     lines = events.select(*keys, "pos", data.alias("data")).filter("data is not null")
     return _until_end(lines, keys, F.col("data") == "[DONE]").filter(F.expr("try_parse_json(data) is not null"))
 
