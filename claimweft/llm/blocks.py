@@ -7,7 +7,7 @@ order, and take over their labels; plain lines that match no leaf are labelled f
 
 Cases: null and empty fields have no lines; blank lines are never reported; a page of one line and a page of many thousand
 lines are read alike (long sequences in overlapping windows); repeated pages are labelled alike; null markdown falls back
-to the text alone; extra columns pass through.
+to the text alone; extra columns are ignored, or pass through ``article_text``, where one named like its output gives way.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.llm.columns import VALUE, carried, restored
+
 BLANK, ARTICLE, FURNITURE = -1, 0, 1
 BUCKETS, WORD_DIM, HIDDEN = 8192, 16, 28
 #: Leaves of one reading, and the overlap of consecutive readings of a longer page.
@@ -235,7 +237,7 @@ class BlockLabeller:
         return [(r[0], p) for r, p in zip(read, result)]
 
 
-def carried(markdown: str, at: list[int], furniture: np.ndarray, text: str) -> list[tuple[int, float | None]]:
+def handed_down(markdown: str, at: list[int], furniture: np.ndarray, text: str) -> list[tuple[int, float | None]]:
     """For each line of the text that isn't blank, its number and the label of the leaf it came from, or none."""
     lines = markdown.split("\n")
     leaves = [" ".join(plain_line(lines[i]).split()) for i in at]
@@ -261,7 +263,7 @@ def label_batch(model: BlockLabeller, reader: Reader, markdown: list[str | None]
     texts: list[list] = []
     again = []
     for k, ((at, p), m, t) in enumerate(zip(from_markdown, markdown, text)):
-        rows = carried(m or "", at, p, t or "")
+        rows = handed_down(m or "", at, p, t or "")
         if any(r[1] is None for r in rows):
             again.append(k)
         texts.append(rows)
@@ -291,27 +293,26 @@ def find_furniture(
     return source.mapInArrow(run, schema)
 
 
-def article_text(pages: DataFrame, text_col: str = "text", out_col: str = "article", **names: str) -> DataFrame:
+def article_text(pages: DataFrame, text_col: str = "text", out_col: str = "article", markdown_col: str = "markdown") -> DataFrame:
     """``pages`` with the article's lines alone in ``out_col``; other columns pass through."""
-    if out_col in pages.columns:
-        raise ValueError(f"the input already has a column {out_col}; pass another output name")
-    markdown_col = names.get("markdown_col", "markdown")
-    schema = T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
+    source, kept_fields = carried(pages.withColumn(VALUE, F.struct(F.col(f"`{markdown_col}`").alias("m"), F.col(f"`{text_col}`").alias("t"))), VALUE, [out_col], leave_out=VALUE)
+    schema = T.StructType([*kept_fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, reader = BlockLabeller.shipped(), Reader()
         for big in batches:
             for begin in range(0, big.num_rows, 512):
                 batch = big.slice(begin, 512)
-                texts = batch.column(text_col).to_pylist()
-                plain = label_batch(model, reader, batch.column(markdown_col).to_pylist(), texts)[1]
+                pair = batch.column(VALUE)
+                texts = pair.field("t").to_pylist()
+                plain = label_batch(model, reader, pair.field("m").to_pylist(), texts)[1]
                 kept = []
                 for t, rows in zip(texts, plain):
                     lines = (t or "").split("\n")
                     kept.append(None if t is None else "\n".join(lines[n] for n, p in rows if p <= 0.5))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], [*batch.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string())], [*(f.name for f in kept_fields), out_col])
 
-    return pages.mapInArrow(run, schema)
+    return restored(source.mapInArrow(run, schema), kept_fields)
 
 
 def fit(pages: list[tuple[str, list[int]]], epochs: int = 10, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:

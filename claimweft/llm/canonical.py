@@ -9,21 +9,27 @@ rotated, as in "Ledger, The Example".
 
 Cases: a null or blank value gives no row; a value within the threshold of no entry gives ref id 0; entries at the same
 distance are decided for the lowest id and flagged as ambiguous; an empty reference list leaves all values unmatched;
-null names and aliases are skipped; repeated rows are mapped alike; extra columns pass through.
+null names and aliases are skipped; repeated rows are mapped alike; extra columns pass
+through, and one with an output's name gives way to it.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.llm.columns import VALUE, carried, restored
+from claimweft.session import cut_lineage
+
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = str.maketrans("абвгдезікмнопрстухьјѕԁӏαβεικνορτυχ", "a6brdeзikmhoпpctyxbjsdlabeikvoptux")
 #: Words that stand around ratings and publisher names without being part of them.
@@ -176,10 +182,10 @@ class Mapper:
             for code in codes:
                 if code and plain(code):
                     self.exact.setdefault(plain(code).replace(" ", ""), set()).add(ref)
-        self.memo: dict[str, tuple[int, int | None, bool]] = {}
+        self.memo: dict[str, tuple[int, int | None, bool, float]] = {}
 
-    def best(self, value: str) -> tuple[int, int | None, bool]:
-        """(ref id or 0, distance or null, whether another entry is as close)."""
+    def best(self, value: str) -> tuple[int, int | None, bool, float]:
+        """(ref id or 0, distance or null, whether another entry is as close, rank of the match: less is closer)."""
         got = self.memo.get(value)
         if got is None:
             if len(self.memo) >= MEMO:
@@ -187,12 +193,12 @@ class Mapper:
             got = self.memo[value] = self._best(value)
         return got
 
-    def _best(self, value: str) -> tuple[int, int | None, bool]:
+    def _best(self, value: str) -> tuple[int, int | None, bool, float]:
         tried = forms(value)
-        for form, _ in tried:
+        for form, cost in tried:
             if form in self.exact:
                 refs = self.exact[form]
-                return min(refs), 0, len(refs) > 1
+                return min(refs), 0, len(refs) > 1, cost / 8 - 1
         near: list[tuple[float, int, int]] = []
         for form, cost in tried:
             limit = tolerance(form, self.share, self.most)
@@ -202,9 +208,9 @@ class Mapper:
                     if d <= min(limit, tolerance(name, self.share, self.most)):
                         near.append((d + cost / 8, d, e))
         if not near:
-            return 0, None, False
+            return 0, None, False, math.inf
         rank, d, ref = min(near, key=lambda x: (x[0], x[2]))
-        return ref, d, len({e for r, _, e in near if r == rank}) > 1
+        return ref, d, len({e for r, _, e in near if r == rank}) > 1, rank
 
 
 def map_to_canonical(
@@ -212,11 +218,12 @@ def map_to_canonical(
     share: float = 0.25, most: int = 3, ref_col: str = "ref_id", distance_col: str = "distance", ambiguous_col: str = "ambiguous",
     shard_entries: int = 50_000,
 ) -> DataFrame:
-    """``df`` without null or blank values, plus ref id (0: none), edit distance and ambiguity. Narrow, no shuffle.
+    """``df`` without null or blank values, plus ref id (0: none), edit distance and ambiguity.
 
-    ``names`` and ``codes`` are string or array<string> columns of ``reference``. The list is read in shards of
-    ``shard_entries`` entries; each shard's tree goes to the rows in turn and the closest entry over all shards wins, so
-    that no tree grows beyond that bound. Values repeat, so each Python worker keeps a bounded memo of them.
+    ``names`` and ``codes`` are string or array<string> columns of ``reference``. A list of up to ``shard_entries`` entries
+    is one tree, sent to all executors, and the mapping is narrow. A longer list is cut into shards of that size: each
+    distinct value meets one shard's tree at a time, the closest of the shards' winners is kept, and rows take it over by
+    a join on the value. Values repeat, so each Python worker keeps a bounded memo of them.
     """
     def texts(columns) -> Column:
         arrays = []
@@ -236,31 +243,29 @@ def map_to_canonical(
     if shard or not shards:
         shards.append(shard)
     spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(s) for s in shards]
-    clash = {c.lower() for c in df.columns} & {ref_col.lower(), distance_col.lower(), ambiguous_col.lower()}
-    if clash:
-        raise ValueError(f"the input already has the columns {sorted(clash)}; pass other output names")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mappers = [Mapper(s.value, share, most) for s in shared]
-
-        def best(value: str) -> tuple[int, int | None, bool]:
-            found = [m.best(value) for m in mappers]
-            hits = [f for f in found if f[1] is not None]
-            if not hits:
-                return 0, None, False
-            d = min(f[1] for f in hits)
-            at = [f for f in hits if f[1] == d]
-            return min(f[0] for f in at), d, len(at) > 1 or at[0][2]
-
-        for batch in batches:
-            got = [best(v) for v in batch.column(value_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.bool_())],
-                [*batch.schema.names, ref_col, distance_col, ambiguous_col],
-            )
-
-    schema = T.StructType([
-        *df.schema.fields, T.StructField(ref_col, T.IntegerType()), T.StructField(distance_col, T.IntegerType()), T.StructField(ambiguous_col, T.BooleanType()),
-    ])
-    return df.filter(F.col(value_col).rlike(r"(?U)[^\s\x{200b}\x{feff}]")).mapInArrow(run, schema)
+    source, kept = carried(df, value_col, [ref_col, distance_col, ambiguous_col])
+    source = source.filter(F.col(VALUE).rlike(r"(?U)[^\s\x{200b}\x{feff}]"))
+    outputs = [T.StructField(ref_col, T.IntegerType()), T.StructField(distance_col, T.IntegerType()), T.StructField(ambiguous_col, T.BooleanType()), T.StructField("_rank", T.DoubleType())]
+
+    def mapped(rows: DataFrame, entries: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(entries)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mapper = Mapper(shared.value, share, most)
+            for batch in batches:
+                got = [mapper.best(v) for v in batch.column(VALUE).to_pylist()]
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([g[k] for g in got], t) for k, t in enumerate(kinds))], [*batch.schema.names, *(f.name for f in outputs)])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *outputs]))
+
+    names_out = [f.name for f in kept] + [ref_col, distance_col, ambiguous_col]
+    if len(shards) == 1:
+        return restored(mapped(source, shards[0]).select(*names_out), kept)
+    values = cut_lineage(source.select(VALUE).distinct())
+    found = reduce(DataFrame.unionByName, (mapped(values, s) for s in shards))
+    least = found.groupBy(VALUE).agg(
+        F.min_by(F.struct(ref_col, distance_col, ambiguous_col), F.struct("_rank", ref_col)).alias("_best"), F.sort_array(F.collect_list("_rank")).alias("_ranks"))
+    tied = F.col(f"_best.{ambiguous_col}") | (F.col(f"_best.{distance_col}").isNotNull() & (F.get("_ranks", F.lit(0)) == F.get("_ranks", F.lit(1))))
+    won = least.select(VALUE, f"_best.{ref_col}", f"_best.{distance_col}", tied.alias(ambiguous_col))
+    return restored(source.join(won, VALUE).select(*names_out), kept)

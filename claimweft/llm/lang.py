@@ -7,7 +7,7 @@ a word are one vector, so a text's margins are the mean of its words' vectors an
 
 Cases: null, empty and blank texts, and texts without letters, have no language (null, confidence 0); texts whose two best
 codewords are about as near are flagged as ambiguous; repeated rows are decided alike; very long texts are read whole;
-unknown declared labels count as missing; extra columns pass through.
+unknown declared labels count as missing; extra columns pass through, and one with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.llm.columns import VALUE, carried, restored
+
 BUCKETS = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 MEMO = 300_000
@@ -188,21 +190,18 @@ class Detector:
 
 def detect_column(df: DataFrame, code: LanguageCode, text_col: str, lang_col: str = "found_lang", sure_col: str = "found_sure") -> DataFrame:
     """``df`` plus the language of ``text_col`` and the confidence in it. Narrow, no shuffle."""
-    clash = {c.lower() for c in df.columns} & {lang_col.lower(), sure_col.lower()}
-    if clash:
-        raise ValueError(f"the input already has the columns {sorted(clash)}; pass other output names")
+    source, kept = carried(df, text_col, [lang_col, sure_col])
     shared = df.sparkSession.sparkContext.broadcast(code)
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(sure_col, T.DoubleType())])
+    outputs = [T.StructField(lang_col, T.StringType()), T.StructField(sure_col, T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shared.value)
         for batch in batches:
-            got = detector.texts(batch.column(text_col).to_pylist())
+            got = detector.texts(batch.column(VALUE).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, lang_col, sure_col],
-            )
+                [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [f.name for f in (*kept, *outputs)])
 
-    return df.mapInArrow(run, schema)
+    return restored(source.mapInArrow(run, T.StructType([*kept, *outputs])), kept)
 
 
 def detect_lines(df: DataFrame, code: LanguageCode, key: str, text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ Atomic segments (sentences within lines) are merged agglomeratively: all adjacen
 the weakest boundary between it merges first, as long as the merged size plus the overlap fits.
 
 Cases: a null, empty or blank text has no pieces; a text within the limit is one piece, whole; a run without any boundary
-is cut by count; repeated rows are cut alike; extra columns pass through.
+is cut by count; repeated rows are cut alike; extra columns pass through, and one with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.llm.columns import VALUE, carried, restored
+
 #: Boundary strengths, weakest first: inside a sentence (a forced cut), a sentence end, a line end, a blank line.
 FORCED, SENTENCE, LINE, PARAGRAPH = range(4)
 _WORD = re.compile(r"\S+")
@@ -124,21 +126,18 @@ def split_oversized(
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
-    kept = [f for f in df.schema.fields if f.name != text_col]
-    clash = {f.name.lower() for f in kept} & {pieces_col.lower(), run_col.lower()}
-    if clash:
-        raise ValueError(f"the input already has the columns {sorted(clash)}; pass other output names")
+    source, kept = carried(df, text_col, [pieces_col, run_col], leave_out=text_col)
     piece = pa.struct([("piece_no", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("n_overlap", pa.int32()), ("boundary", pa.int32()), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [split_text(t, limit, overlap) for t in batch.column(text_col).to_pylist()]
+            rows = [split_text(t, limit, overlap) for t in batch.column(VALUE).to_pylist()]
             columns = [batch.column(f.name) for f in kept]
             columns += [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(piece))]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), run_col, pieces_col])
 
     schema = T.StructType([*kept, T.StructField(run_col, T.IntegerType(), False), T.StructField(pieces_col, T.ArrayType(PIECE, False), False)])
-    return df.mapInArrow(run, schema)
+    return restored(source.mapInArrow(run, schema), kept)
 
 
 def oversized(df: DataFrame, text_col: str = "text", limit: int = 400) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Cases: null and empty texts get an empty id list (and empty offsets); blank text is encoded like any other text;
 strings that look like special tokens are ordinary text; repeated rows are encoded alike; very long texts are encoded
-whole; extra columns pass through untouched.
+whole; extra columns pass through, and one with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from claimweft.llm.columns import VALUE, carried, restored
+
 #: Where the vocabulary files are; a parameter of every function below.
 TOKENIZER_DIR = os.environ.get("CLAIMWEFT_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokens kept per Python worker, and the longest one that is kept: about 60 MB at most.
@@ -109,13 +111,6 @@ def _path(vocabulary: str, folder: str | None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, f"{vocabulary}.json")
 
 
-def _plus(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    clash = {f.name.lower() for f in schema.fields} & {f.name.lower() for f in fields}
-    if clash:
-        raise ValueError(f"the input already has the columns {sorted(clash)}; pass other output names")
-    return T.StructType([*schema.fields, *fields])
-
-
 def encode_documents(
     df: DataFrame, text_col: str = "text", out_col: str = "ids", vocabulary: str = "byte_bpe_50k",
     tokenizer_dir: str | None = None, with_offsets: bool = False, offsets_col: str = "offsets",
@@ -125,28 +120,30 @@ def encode_documents(
     One narrow Arrow stage, no shuffle: ids are written straight into list arrays, so no row becomes a Python object.
     """
     path = _path(vocabulary, tokenizer_dir)
-    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)]
     span = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)])
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)]
     if with_offsets:
         fields.append(T.StructField(offsets_col, T.ArrayType(span, False), False))
+    source, kept = carried(df, text_col, [f.name for f in fields])
+    names = [f.name for f in (*kept, *fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(PieceEncoder, path)
         decoder = _loaded(PieceDecoder, path) if with_offsets else None
         for batch in batches:
-            rows = [encoder.encode(t) for t in batch.column(text_col).to_pylist()]
+            rows = [encoder.encode(t) for t in batch.column(VALUE).to_pylist()]
             ends = [0]
             for r in rows:
                 ends.append(ends[-1] + len(r))
             flat = pa.array(chain.from_iterable(rows), pa.int32(), size=ends[-1])
-            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
             if decoder:
                 spans = [decoder.offsets(r) for r in rows]
                 parts = [pa.array([s[k] for r in spans for s in r], pa.int32()) for k in (0, 1)]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end"])))
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f.name for f in fields)])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, _plus(df.schema, *fields))
+    return restored(source.mapInArrow(run, T.StructType([*kept, *fields])), kept)
 
 
 def decode_documents(
@@ -154,11 +151,12 @@ def decode_documents(
 ) -> DataFrame:
     """``df`` plus the text of ``ids_col``; a null or empty list gives an empty text."""
     path = _path(vocabulary, tokenizer_dir)
+    source, kept = carried(df, ids_col, [out_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _loaded(PieceDecoder, path)
         for batch in batches:
-            texts = [decoder.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
+            texts = [decoder.decode(ids or ()) for ids in batch.column(VALUE).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*(f.name for f in kept), out_col])
 
-    return df.mapInArrow(run, _plus(df.schema, T.StructField(out_col, T.StringType(), False)))
+    return restored(source.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType(), False)])), kept)

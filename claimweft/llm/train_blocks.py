@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow.parquet as pq
 
-from claimweft.llm.blocks import BlockLabeller, Reader, carried, fit
+from claimweft.llm.blocks import BlockLabeller, Reader, fit, handed_down
 from claimweft.llm.weak_labels import WeakLabeller
 
 
@@ -28,7 +28,7 @@ def main(pages: str, claims: str, rows: int = 4000) -> None:
         labels = weak.label(r["url"], markdown)
         at = [k for k, x in enumerate(labels) if x >= 0]
         plain = [0] * (text.count("\n") + 1)
-        for k, label in carried(markdown, at, np.array([labels[k] for k in at]), text):
+        for k, label in handed_down(markdown, at, np.array([labels[k] for k in at]), text):
             plain[k] = int(label or 0)
         labelled.append([(markdown, labels), (text, plain)])
     training = [x for n, both in enumerate(labelled[:rows]) for x in (both if n % 3 == 0 else both[:1])]
