@@ -9,6 +9,7 @@ from claimweft.catalog import query
 from claimweft.functions.fuzzy import partial_ratio_column
 from claimweft.functions.text import sentence_parts
 from claimweft.models import ports
+from claimweft.models.embed import embed
 from claimweft.operators import graph, tfidf, vectors
 from claimweft.operators.align import best_aligned, strongest
 from claimweft.operators.chunk import lines, markdown_chunks
@@ -241,3 +242,11 @@ def markdown_pieces(spark: SparkSession, d: str) -> DataFrame:
 def claim_queries(spark: SparkSession, d: str) -> DataFrame:
     """Search queries of claims, by the rule that stands in for a model."""
     return read_table(spark, d, "claim").select("id", ports.query_terms(F.col("text")).alias("query"))
+
+
+@query()
+def document_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Stated queries (ids divisible by 100) against all documents, over hashed term vectors."""
+    rows = embed(_documents(spark, d)).select("doc_id", "embedding")
+    out = vectors.cosine_top_k(rows.filter("doc_id % 100 = 0"), rows, 5, "doc_id")
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweft.catalog import query
-from claimweft.catalog.texts import _CANON, _H
+from claimweft.catalog.texts import _CANON, _H, html_pages
 from claimweft.functions import text as X
 from claimweft.functions.time import micros
-from claimweft.operators import eventlog, locate, search
+from claimweft.operators import eventlog, locate, search, sets
 from claimweft.operators.chunk import lines
 from claimweft.plans.pipeline import analyse, candidate_sources, verify
+from claimweft.sources import providers
 from claimweft.sources.tables import read_table
 
 GAP = 3_600_000
@@ -218,3 +219,74 @@ def verified_claims(spark: SparkSession, d: str) -> DataFrame:
     claims, pages = read_table(spark, d, "claim"), read_table(spark, d, "extracted_page")
     hits = read_table(spark, d, "search_hit").filter("url is not null")
     return verify(claims, candidate_sources(claims, hits, pages))
+
+
+@query("""WITH r AS (SELECT claimId AS query, url, title, snippet, row_number() OVER (PARTITION BY claimId ORDER BY hit_id) - 1 AS pos FROM search_hit WHERE url IS NOT NULL)
+SELECT query, pos, url, title, coalesce(snippet, '') AS snippet FROM r WHERE coalesce(title, '') <> '' AND NOT regexp_matches(title || coalesce(snippet, ''), '<')""")
+def provider_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits sent as a provider's nested JSON, and read back by its adapter."""
+    hits = read_table(spark, d, "search_hit").filter("url is not null")
+    result = F.struct("hit_id", F.struct("url", F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), F.col("snippet").alias("description")).alias("r"))
+    sent = hits.groupBy(F.col("claimId").alias("query")).agg(F.array_sort(F.collect_list(result)).alias("x"))
+    body = F.to_json(F.struct(F.struct(F.transform("x", lambda x: x["r"]).alias("results")).alias("web")))
+    found = providers.provider("json")(sent.select("query", body.alias("body")))
+    kept = found.filter("title <> ''").join(hits.filter("title rlike '<' or snippet rlike '<'").select(F.col("claimId").alias("query"), "url"), ["query", "url"], "left_anti")
+    return kept.select("query", F.col("pos").cast("bigint").alias("pos"), "url", "title", "snippet")
+
+
+@query("""WITH c AS (SELECT claimId, count(*) FILTER (customDomain) AS own, count(*) AS n FROM search_hit GROUP BY 1) SELECT claimId AS query, CASE WHEN own > 0 THEN own ELSE n END AS hits FROM c""")
+def provider_chain(spark: SparkSession, d: str) -> DataFrame:
+    hits = read_table(spark, d, "search_hit").select(F.col("claimId").alias("query"), "hit_id", "customDomain")
+    return providers.chain(hits.filter("customDomain"), hits).groupBy("query").agg(F.count("*").alias("hits"))
+
+
+@query("SELECT c.id FROM claim c WHERE NOT EXISTS (SELECT 1 FROM verdict v WHERE v.claimId = c.id)")
+def claims_open(spark: SparkSession, d: str) -> DataFrame:
+    """Claims without a verdict: those with one are taken out by their ids."""
+    return sets.without_ids(read_table(spark, d, "claim").select("id"), read_table(spark, d, "verdict").select(F.col("claimId").alias("id")), "id")
+
+
+@query("SELECT DISTINCT page_id, text FROM claim c WHERE NOT EXISTS (SELECT 1 FROM claim e WHERE e.page_id = c.page_id AND e.text = c.text AND e.id LIKE '%-1')")
+def claims_new(spark: SparkSession, d: str) -> DataFrame:
+    claims = read_table(spark, d, "claim").select("id", "page_id", "text")
+    return sets.only_new(claims, claims.filter("id like '%-1'"), ["page_id", "text"]).select("page_id", "text")
+
+
+@query("SELECT h.hit_id, EXISTS (SELECT 1 FROM fact_check_hit f WHERE f.publisherSite = h.domain) AS member FROM search_hit h WHERE h.domain IS NOT NULL")
+def hits_of_publishers(spark: SparkSession, d: str) -> DataFrame:
+    sites = read_table(spark, d, "fact_check_hit").filter("publisherSite is not null").select(F.col("publisherSite").alias("domain"))
+    hits = read_table(spark, d, "search_hit").filter("domain is not null").select("hit_id", "domain")
+    return sets.flag_members(hits, sites, "domain").select("hit_id", "member")
+
+
+@query("""WITH a AS (SELECT user_id, event_type, sum(value) AS v FROM events WHERE value >= 50 GROUP BY ALL), b AS (SELECT user_id, event_type, sum(value) AS v FROM events WHERE value < 50 GROUP BY ALL),
+j AS (SELECT abs(coalesce(a.v, 0) - coalesce(b.v, 0)) AS gap FROM a FULL JOIN b USING (user_id, event_type)) SELECT count(*) AS pairs, round(avg(gap), 4) AS mean, round(max(gap), 4) AS largest FROM j""")
+def matrix_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Two matrices of sums by user and type, of large and of small values; both together hold every event."""
+    events = read_table(spark, d, "events").groupBy("user_id", "event_type", (F.col("value") >= 50).alias("large")).agg(F.sum("value").alias("v"))
+    out = sets.difference(events.filter("large"), events.filter("not large"), ["user_id", "event_type"], "v")
+    return out.select("pairs", F.round("mean", 4).alias("mean"), F.round("largest", 4).alias("largest"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, CASE WHEN value > 400 THEN 0.0 ELSE value END AS held, value > 400 AS shown FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.held + e.value > 400 THEN 0.0 ELSE f.held + e.value END, f.held + e.value > 400 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT event_id FROM f WHERE shown""")
+def progress_throttle(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.throttle(read_table(spark, d, "events"), "user_id", "value", 400).select("event_id")
+
+
+@query("SELECT event_id, 'm' || user_id AS base, CASE WHEN value * 1000 < 1000 THEN CAST(CAST(round_even(value * 1000, 0) AS BIGINT) AS VARCHAR) ELSE format('{:,}', CAST(round_even(value * 1000, 0) AS BIGINT)) END AS shown FROM events")
+def display_values(spark: SparkSession, d: str) -> DataFrame:
+    tag = F.concat(F.lit("m"), F.col("user_id").cast("string"), F.lit(":latest"))
+    return read_table(spark, d, "events").select("event_id", X.base_model_name(tag).alias("base"), X.grouped(F.col("value") * 1000).alias("shown"))
+
+
+@query("""SELECT url, CASE WHEN title IS NULL THEN '' ELSE trim(regexp_replace(title, '[ \\t\\r\\n\\x{00a0}]+', ' ', 'g')) END AS title FROM extracted_page WHERE url IS NOT NULL""")
+def source_titles(spark: SparkSession, d: str) -> DataFrame:
+    pages = html_pages(spark, d).join(read_table(spark, d, "extracted_page").select("page_id", "url"), "page_id").filter("url is not null")
+    return providers.fetched_sources(pages).select("url", "title")
+
+
+@query("SELECT v.claimId, v.url, CASE WHEN lower(alignment) LIKE 'agree%' THEN 'evidence-agree' ELSE 'evidence-disagree' END AS kind, count(*) AS n FROM verdict v WHERE evidence IS NOT NULL AND evidence <> '' AND (lower(alignment) LIKE 'agree%' OR lower(alignment) LIKE 'disagree%' OR lower(alignment) LIKE 'contradict%') GROUP BY ALL")
+def evidence_highlights(spark: SparkSession, d: str) -> DataFrame:
+    return locate.evidence_targets(read_table(spark, d, "verdict")).groupBy("claimId", "url", "kind").agg(F.count("*").alias("n"))

@@ -200,3 +200,17 @@ def context_text(pairs: Column, skip: str | None = None) -> Column:
 
 def sentence_parts(x: Text) -> Column:
     return F.split(F.lower(_c(x)), "[.!?][ \\t\\r\\n]+")
+
+
+def base_model_name(tag: Text) -> Column:
+    """The part of a model's tag before the colon."""
+    return F.split_part(_c(tag), F.lit(":"), F.lit(1))
+
+
+def grouped(n: Text) -> Column:
+    """A whole number with its thousands grouped."""
+    return F.format_number(_c(n), 0)
+
+
+def percent(score: Column) -> Column:
+    return F.concat(F.format_number(score * 100, 0), F.lit("%"))

@@ -175,3 +175,23 @@ def fold_states(events: DataFrame, session: str, time: str = "ts", tie: str = "e
             yield ready()
 
     return ordered.mapInArrow(run, schema)
+
+
+def throttle(events: DataFrame, key: str, amount: str, over: float, time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Events at which more than ``over`` of ``amount`` has come together since the last one that was let through."""
+    ordered = events.withColumn("_us", micros(time)).repartition(F.col(key)).sortWithinPartitions(key, "_us", tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, 0.0
+        for batch in batches:
+            keep = []
+            for k, a in zip(batch.column(key).to_pylist(), batch.column(amount).to_pylist()):
+                if k != current:
+                    current, total = k, 0.0
+                total += a or 0.0
+                keep.append(total > over)
+                if keep[-1]:
+                    total = 0.0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema).drop("_us")

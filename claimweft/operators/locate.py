@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.functions.text import alignment_label
+
 _SPACE = re.compile(r"\s+")
 
 
@@ -89,3 +91,10 @@ def node_at(offsets: DataFrame, nodes: DataFrame, key: str, offset: str = "offse
     last = n.withColumn("_node", F.col("_node").cast("struct<p:int,s:bigint,l:bigint>")).unionByName(o).withColumn("_last", F.last("_node", ignorenulls=True).over(w)).filter("_kind = 1")
     inside = F.col(offset) < F.col("_last.s") + F.col("_last.l")
     return last.select(key, offset, F.when(inside, F.col("_last.p")).alias("node"), F.when(inside, F.col(offset) - F.col("_last.s")).alias("within"))
+
+
+def evidence_targets(verdicts: DataFrame) -> DataFrame:
+    """(claimId, url, kind, evidence) of verdicts that take a side and quote something."""
+    label = alignment_label("alignment")
+    sided = verdicts.filter((F.coalesce("evidence", F.lit("")) != "") & (label != "unrelated"))
+    return sided.select("claimId", "url", F.when(label == "agrees", "evidence-agree").otherwise("evidence-disagree").alias("kind"), "evidence")

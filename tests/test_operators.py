@@ -195,3 +195,38 @@ def test_ports(spark):
         ports.port("compare", "nothing")
     claims = spark.createDataFrame([("p", 1, " a "), ("p", 2, " "), ("p", 3, "b"), ("p", 4, None), ("p", 5, "c")], "k string, pos int, text string")
     assert [(r.claim_id, r.text) for r in ports.accepted_claims(claims, "k", n=2).orderBy("claim_id").collect()] == [("c1", "a"), ("c2", "b")]
+
+
+def test_providers(spark):
+    from claimweft.sources import providers
+
+    body = '{"web":{"results":[{"url":"https://a.x/1","title":"<b>A</b>","description":null},{"url":"not a url","title":"x"},{"url":"https://b.x/2","title":""},{"url":"https://c.x/3","title":"C","meta_url":{"hostname":"h"}}]}}'
+    got = providers.json_hits(spark.createDataFrame([("q", body), ("r", "broken"), ("s", None)], "query string, body string")).orderBy("pos").collect()
+    assert [(r.query, r.title, r.snippet, r.domain) for r in got] == [("q", "A", "", "a.x"), ("q", "C", "", "h")]
+    links = spark.createDataFrame([("q", 0, "//r/?uddg=https%3A%2F%2Fm.a.org%2F", "a.org"), ("q", 1, "https://b.org", "a.org"), ("r", 0, "https://b.org", "a.org")], "query string, pos int, url string, d string")
+    assert {(r.query, r.url) for r in providers.redirect_hits(links, domain="d").collect()} == {("q", "https://m.a.org/"), ("r", "https://b.org")}
+    with pytest.raises(ValueError):
+        providers.provider("none")
+    one = spark.range(1).select(providers.site_query(F.lit("x"), F.lit("a.b")).alias("q"), providers.result_count(F.lit(99)).alias("n")).first()
+    assert (one.q, one.n) == ("site:a.b x", 20)
+    pages = spark.createDataFrame([("https://h.x/p", "<title> </title><p>a</p>"), ("https://i.x/p", "<p>b</p>")], "url string, html string")
+    assert [(r.title, r.text) for r in providers.fetched_sources(pages).collect()] == [("", "a"), ("i.x", "b")]
+
+
+def test_sets(spark):
+    from claimweft.operators import sets
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "k int, t string"), spark.createDataFrame([(2, "y")], "k int, t string")
+    assert sets.is_contained(b, a, "t") and not sets.is_contained(a, b, "t")
+    assert sorted(r.k for r in sets.without_ids(a, b, "k").collect()) == [1, 3]
+    assert [r.t for r in sets.only_new(a, b, ["t"]).collect()] == ["x"]
+    assert sorted((r.branch, r.k) for r in sets.ahead(b, a).collect()) == [(0, 2), (1, 1), (1, 2), (1, 3)]
+    assert sum(r.member for r in sets.flag_members(a, b, "t").collect()) == 1
+
+
+def test_hashed_vectors(spark):
+    from claimweft.models.embed import HashedEncoder, embed
+
+    m = HashedEncoder(16).encode(["the council met", "the council met", "", None, "other words here"])
+    assert np.allclose(m[0], m[1]) and not m[2].any() and not m[3].any() and np.isclose(np.linalg.norm(m[4]), 1)
+    assert len(embed(spark.createDataFrame([("a b",), (None,)], "text string")).first().embedding) == 64
