@@ -188,7 +188,8 @@ def test_stuffed_pages(spark, prose):
 # --- 1: languages
 
 def test_held_out_accuracy(spark, code):
-    docs = table(spark, "documents").filter("lang in ('en','de','fr','es','it','nl') and kind in ('article', 'review', 'claim_note')")
+    # Prose only: lists of search words mix languages and have no right label.
+    docs = table(spark, "documents").filter("lang in ('en','de','fr','es','it','nl') and kind in ('article', 'review', 'claim_note') and text rlike '[.!?]'")
     found = lang.detect_column(docs.select("lang", "text", F.lit(1).alias("found_lang")), code, "text")
     total, right = found.filter("found_sure >= 0.3").agg(F.count("*"), F.count_if(F.expr("lang = found_lang"))).first()
     assert total > 50 and right / total > 0.97
