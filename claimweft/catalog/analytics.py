@@ -160,13 +160,26 @@ def similar_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "label").join(ends, "vec_id", "left").select("vec_id", "label", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query()
+@query(_EDGES.replace("WITH v AS", "WITH RECURSIVE v AS", 1) + """, j AS (SELECT v.label, v.vec_id AS node, coalesce(list(CASE WHEN d.a = v.vec_id THEN d.b ELSE d.a END) FILTER (d.a IS NOT NULL), []) AS near FROM v LEFT JOIN d ON v.vec_id IN (d.a, d.b) GROUP BY ALL),
+k AS (SELECT label, list(vec_id) AS left_over, CAST(NULL AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS members FROM v GROUP BY label),
+r AS (SELECT * FROM k UNION ALL SELECT x.label, list_filter(x.left_over, lambda y: y <> j.node AND NOT list_contains(j.near, y)), j.node, list_concat([j.node], list_filter(x.left_over, lambda y: list_contains(j.near, y)))
+ FROM (SELECT *, list_min(left_over) AS low FROM r WHERE len(left_over) > 0) x JOIN j ON j.node = x.low)
+SELECT seed, unnest(members) AS node FROM r WHERE len(members) >= 2""")
 def star_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "embeddings")
     return graph.star_clusters(rows.select(F.col("vec_id").alias("node")), vectors.similar_edges(rows, 0.35, "label"))
 
 
-@query()
+def _sql_pagerank(rounds: int) -> str:
+    steps = "".join(
+        f""", r{k + 1} AS MATERIALIZED (SELECT b.label, b.node, b.n, b.alone, 0.15 / b.n + 0.85 * (coalesce(f.flow, 0) + l.lost / b.n) AS rank FROM base b
+LEFT JOIN (SELECT m.b AS node, sum(r.rank * m.share) AS flow FROM r{k} r JOIN moves m ON m.a = r.node GROUP BY 1) f USING (node) JOIN (SELECT label, sum(CASE WHEN alone THEN rank ELSE 0 END) AS lost FROM r{k} GROUP BY 1) l USING (label))"""
+        for k in range(rounds))
+    return _EDGES.replace(">= 0.35", ">= 0.2") + f""", h AS (SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d), t AS (SELECT a, sum(s) AS total FROM h GROUP BY 1), moves AS MATERIALIZED (SELECT h.a, h.b, h.s / t.total AS share FROM h JOIN t USING (a)),
+base AS MATERIALIZED (SELECT v.label, v.vec_id AS node, count(*) OVER (PARTITION BY v.label) AS n, v.vec_id NOT IN (SELECT a FROM moves) AS alone FROM v), r0 AS MATERIALIZED (SELECT label, node, n, alone, 1.0 / n AS rank FROM base){steps} SELECT label, node, round(rank, 6) AS rank FROM r{rounds}"""
+
+
+@query(_sql_pagerank(10))
 def pagerank_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "embeddings")
     edges = vectors.similar_edges(rows, 0.2, "label").select("label", "a", "b", F.col("score").alias("weight"))
@@ -214,11 +227,30 @@ def claim_evidence(spark: SparkSession, d: str) -> DataFrame:
     return best_aligned(_claim_lines(spark, d), ["id"], "claim", "chunk", "pos", 3).select("id", "pos", "score", "matches", "mismatches", "gaps", "rank")
 
 
-@query()
+def _sql_words(x: str) -> str:
+    plain = f"trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_ \\t\\r\\n]', ' ', 'g'), '[ \\t\\r\\n\\x{{00a0}}]+', ' ', 'g'))"
+    return f"string_split({plain}, ' ')"
+
+
+def _sql_in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_STOPS = _sql_in(sorted({w for s in ports.STOP_WORDS.values() for w in s.split()}))
+_SIDE = "list_filter(list_distinct({w}), lambda w: w <> '' AND w NOT IN {stops}) AS c{k}, len(list_distinct(list_filter({w}, lambda w: w IN {negations}))) % 2 = 1 AS n{k}, list_distinct(regexp_extract_all({x}, '\\d+(?:[.,]\\d+)*')) AS d{k}"
+_SIDES = ", ".join(_SIDE.format(w=_sql_words(x), x=x, k=k, stops=_STOPS, negations=_sql_in(ports.NEGATIONS)) for k, x in (("1", "claim"), ("2", "chunk")))
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS chunk FROM (SELECT page_id, string_split(text, chr(10)) AS a FROM extracted_page WHERE text IS NOT NULL)),
+k AS (SELECT c.id, l.pos, c.text AS claim, l.chunk FROM claim c JOIN l USING (page_id) WHERE l.pos < 10 AND trim(regexp_replace(l.chunk, '[\\t\\r\\x{{00a0}}]', ' ', 'g')) <> ''), s AS (SELECT id, pos, {_SIDES} FROM k),
+o AS (SELECT *, CASE WHEN len(c1) > 0 AND len(c2) > 0 THEN len(list_intersect(c1, c2)) / len(list_distinct(list_concat(c1, c2))) ELSE 0.0 END AS overlap FROM s),
+g AS (SELECT id, pos, round(CASE WHEN n1 <> n2 OR (len(d1) > 0 AND len(d2) > 0 AND len(list_intersect(d1, d2)) = 0) THEN -overlap ELSE overlap END, 6) AS score FROM o)
+SELECT id, arg_max(pos, (abs(score), -pos)) AS pos, arg_max(score, (abs(score), -pos)) AS score FROM g GROUP BY id""")
 def claim_alignment(spark: SparkSession, d: str) -> DataFrame:
     """The strongest of the first ten lines for or against each claim, by the rule that stands in for a model."""
     scored = _claim_lines(spark, d).withColumn("score", ports.alignment_score(F.col("claim"), F.col("chunk")))
-    return strongest(scored.select("id", "pos", "score"), ["id"])
+    best = strongest(scored.select("id", "pos", "score"), ["id"])
+    return best.select("id", F.col("pos").cast("bigint").alias("pos"), "score")
 
 
 @query()
