@@ -151,6 +151,11 @@ class BlockLabeller:
         with np.load(io.BytesIO(pkgutil.get_data("claimweft.llm", "blocks.npz"))) as stored:
             return cls(dict(stored))
 
+    @classmethod
+    def load(cls, path: str) -> BlockLabeller:
+        with np.load(path) as stored:
+            return cls(dict(stored))
+
     def inputs(self, words: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
         size = np.array([len(w) for w in words])
         sums, leads = np.zeros((len(words), WORD_DIM), np.float32), np.zeros((len(words), WORD_DIM), np.float32)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweft.llm.columns import VALUE, carried, restored
+from claimweft.llm.samples import bounded_sample
 
 BUCKETS = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -221,7 +222,7 @@ def declared(column: str):
 
 def fit_language_code(samples: DataFrame, more: DataFrame | None = None, max_rows: int = 4_000) -> LanguageCode:
     """From rows lang, text with right labels, of each table the first ``max_rows`` by the hash of the text."""
-    def first(df: DataFrame) -> list:
-        return [(r[0], r[1]) for r in df.select("lang", "text").filter("lang is not null and text is not null").orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()]
+    def labelled(df: DataFrame) -> list[tuple[str, str]]:
+        return [(r[0], r[1]) for r in bounded_sample(df.filter("lang is not null"), ["lang", "text"], max_rows)]
 
-    return LanguageCode.fit(first(samples) + (first(more) if more is not None else []))
+    return LanguageCode.fit(labelled(samples) + (labelled(more) if more is not None else []))

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 _DROP = re.compile("[̀-ͯ­​-‏⁠﻿'’‘`´]")
 _WORDS = re.compile(r"[^\W_]+").findall
 SEED = 4
+#: Documents that are looked at together; their number has 15 bits in a group's key.
+SLICE = 8192
 _BASE = np.int64(1_000_003)
 
 
@@ -206,7 +208,7 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
             get = known.vocabulary.get
-            for batch in batches:
+            for batch in (big.slice(a, SLICE) for big in batches for a in range(0, big.num_rows, SLICE)):
                 keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 parts = [np.fromiter((get(w, -1) for w in words_of(t)), np.int64) for t in texts]
                 size = np.array([len(p) for p in parts], np.int64)

@@ -11,6 +11,7 @@ from claimweft.llm.canonical import map_to_canonical
 from claimweft.llm.lang import SURE, declared, detect_column, detect_lines, fit_language_code
 from claimweft.llm.leak import find_leaks
 from claimweft.llm.residue import find_residue, page_signs, snippet_signs
+from claimweft.llm.samples import bounded_sample
 from claimweft.llm.spam import find_stuffed, fit_prose_model, function_words_of
 from claimweft.llm.split import oversized, split_oversized
 from claimweft.llm.tokenize import decode_documents, encode_documents
@@ -19,7 +20,7 @@ from claimweft.sources.tables import read_table
 
 
 def _function_words(spark: SparkSession, d: str) -> frozenset[str]:
-    rows = read_table(spark, d, "lang_sample").filter("text is not null").select("lang", "text").limit(4_000).collect()
+    rows = bounded_sample(read_table(spark, d, "lang_sample"), ["lang", "text"], 4_000)
     return function_words_of([(r[0], r[1]) for r in rows])
 
 

@@ -1,6 +1,6 @@
-"""python -m claimweft.llm.train_blocks PAGES CLAIMS [ROWS]: train the shipped weights of the block labeller.
+"""python -m claimweft.llm.train_blocks PAGES CLAIMS SAMPLES [ROWS [OUT]]: train the shipped weights of the block labeller.
 
-Reads the url, markdown and text of parquet pages and the text of claims, labels pages weakly, trains on at most ROWS of
+Reads the url, markdown and text of parquet pages, the text of claims and sentences of known languages, labels pages weakly, trains on at most ROWS of
 them (4,000 by default) in both forms, with markup and without, and reports the accuracy on as many held-out pages.
 """
 
@@ -13,13 +13,17 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from claimweft.llm.blocks import BlockLabeller, Reader, fit, handed_down
+from claimweft.llm.lang import Detector, LanguageCode
 from claimweft.llm.weak_labels import WeakLabeller
 
 
-def main(pages: str, claims: str, rows: int = 4000) -> None:
+def main(pages: str, claims: str, samples: str, rows: str = "4000", out: str | None = None) -> None:
+    rows, out = int(rows), out or str(Path(__file__).with_name("blocks.npz"))
     table = pq.read_table(pages, columns=["url", "markdown", "text"]).to_pylist()
     known = [t for t in pq.read_table(claims, columns=["text"]).column("text").to_pylist() if t]
-    weak = WeakLabeller([(r["url"], r["markdown"] or "") for r in table], known[:40_000])
+    known = known[:40_000]
+    code = LanguageCode.fit([(r["lang"], r["text"]) for r in pq.read_table(samples).to_pylist()])
+    weak = WeakLabeller([(r["url"], r["markdown"] or "") for r in table], known, [x[0] for x in Detector(code).texts(known)])
     chosen = np.random.default_rng(11).permutation(len(table))[:2 * rows]
     labelled = []
     for i in chosen:
@@ -33,8 +37,8 @@ def main(pages: str, claims: str, rows: int = 4000) -> None:
         labelled.append([(markdown, labels), (text, plain)])
     training = [x for n, both in enumerate(labelled[:rows]) for x in (both if n % 3 == 0 else both[:1])]
     weights = fit(training)
-    np.savez_compressed(Path(__file__).with_name("blocks.npz"), **{k: v.astype(np.float16) for k, v in weights.items()})
-    model, reader = BlockLabeller.shipped(), Reader()
+    np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in weights.items()})
+    model, reader = BlockLabeller.load(out), Reader()
     for form in (0, 1):
         held = [both[form] for both in labelled[rows:]]
         right = wrong_on = wrong_off = 0
@@ -48,4 +52,4 @@ def main(pages: str, claims: str, rows: int = 4000) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], *map(int, sys.argv[3:4]))
+    main(*sys.argv[1:])

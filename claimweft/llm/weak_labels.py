@@ -2,7 +2,7 @@
 
 Used once, offline, to train the weights that the package ships (``python -m claimweft.llm.train_blocks``); no query runs
 it. A line is furniture where its form or its spread over hosts says so: it is an image or only links, it occurs on
-several hosts in words that no claim uses, it is made of such phrases or of words that such lines alone use, it is linked as a teaser elsewhere on the same
+several hosts in words that no claim uses, it is made of such phrases or of words that no claim uses, it is linked as a teaser elsewhere on the same
 host, or it is an item below a heading that mostly stands above linked teasers.
 """
 
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
 
 from claimweft.llm.blocks import ARTICLE, BLANK, FURNITURE, bare_line
+from claimweft.llm.residue import _REPORT, _SLOTS, mock_latin
 
 _LINKS_ONLY = re.compile(r"\s*([-*+]|\d+[.)])?\s*(\[[^\]]*\]\([^)]*\)[\s|/·»›>–•,-]*)+")
 _TEASER = re.compile(r"\[([^\]]*)\]\(/\d+\)\s*\Z")
@@ -31,11 +31,12 @@ def letters(text: str) -> list[str]:
 
 
 class WeakLabeller:
-    """Fitted on rows (url, markdown); ``claims`` gives the words of articles."""
+    """Fitted on rows (url, markdown); ``claims`` and their languages give the words and the names of articles."""
 
-    def __init__(self, pages: list[tuple[str, str]], claims: Iterable[str], hosts: int = 6):
+    def __init__(self, pages: list[tuple[str, str]], claims: list[str], languages: list[str | None], hosts: int = 6):
         known = Counter(w for c in claims for w in set(letters(c)))
         self.words = {w for w, n in known.items() if n >= 5}
+        self.names = self.names_of(claims, languages)
         spread, leads = defaultdict(set), defaultdict(set)
         seen, above = Counter(), Counter()
         self.teasers = defaultdict(set)
@@ -61,13 +62,17 @@ class WeakLabeller:
         self.short = {k for k in self.phrases if len(k) < 40}
         self.leads = {k for k, h in leads.items() if len(h) >= hosts and (self.foreign(k) >= 0.5 or len(h) >= 5 * hosts and len(k.split()) > 1)}
         self.composed: dict[str, bool] = {}
-        self.own: set[str] = set()
-        on, off = Counter(), Counter()
-        for url, markdown in pages[:: max(1, len(pages) // 12_000)]:
-            for line, label in zip(markdown.split("\n"), self.label(url, markdown)):
-                if label != BLANK:
-                    (on if label == FURNITURE else off).update(set(letters(bare_line(line))))
-        self.own = {w for w, n in on.items() if n >= 15 and w not in self.words and n >= 1.5 * off[w]}
+    @staticmethod
+    def names_of(claims: list[str], languages: list[str | None]) -> set[str]:
+        """Words that claims of three languages or more write with a capital, and none without."""
+        seen, small = defaultdict(set), set()
+        for claim, lang in zip(claims, languages):
+            for w in re.findall(r"[^\W\d_]+", claim):
+                if w[0].isupper():
+                    seen[w].add(lang)
+                else:
+                    small.add(w)
+        return {w for w, langs in seen.items() if len(langs - {None}) >= 3 and w.lower() not in small and len(w) > 2}
 
     def foreign(self, key: str) -> float:
         words = letters(key)
@@ -84,10 +89,17 @@ class WeakLabeller:
             self.composed[key] = key in self.phrases or self._parts(_PARTS.split(key)) or self._parts(_SENTENCES.split(key)) or self._covered(key)
         return self.composed[key]
 
-    def in_own_words(self, line: str) -> bool:
-        """A quarter of the words, and two at least, are such as only furniture uses."""
-        words = letters(bare_line(line))
-        return sum(w in self.own for w in words) >= max(2, 0.25 * len(words))
+    def in_own_words(self, line: str, host: str) -> bool:
+        """Two words and three in ten, names left aside, are such as no claim uses. Lines with unfilled slots or mock Latin
+        don't count, nor do sentences that speak of named places or people."""
+        text = self.key(line, host)
+        if _SLOTS.search(line) or mock_latin(text.split(), frozenset()) or _REPORT.search(text):
+            return False
+        written = re.findall(r"[^\W\d_]+", text)
+        if any(w in self.names for w in written[1:]) or text.islower():
+            return False
+        strange = sum(w.lower() not in self.words and w not in self.names and w != "SITE" for w in written)
+        return strange >= max(2, 0.3 * len(written))
 
     def _parts(self, parts: list[str]) -> bool:
         parts = [p for p in parts if p]
@@ -115,7 +127,7 @@ class WeakLabeller:
             key = self.key(line, host)
             furniture = not re.match(r"\s*# ", line) and (
                 line.lstrip().startswith(("![", "+++")) or bool(_LINKS_ONLY.fullmatch(line)) or "©" in line or bare_line(line) in self.teasers[host]
-                or ":" in key and key.split(":")[0] in self.leads or self.is_composed(key) or self.is_composed(self.key(line, host, False)) or self.in_own_words(line)
+                or ":" in key and key.split(":")[0] in self.leads or self.is_composed(key) or self.is_composed(self.key(line, host, False)) or self.in_own_words(line, host)
             )
             out.append(FURNITURE if furniture else ARTICLE)
         self._below_headings(host, lines, out)
