@@ -64,15 +64,18 @@ class WeakLabeller:
         self.composed: dict[str, bool] = {}
     @staticmethod
     def names_of(claims: list[str], languages: list[str | None]) -> set[str]:
-        """Words that claims of three languages or more write with a capital, and none without."""
-        seen, small = defaultdict(set), set()
+        """Words that claims write with a capital within a sentence, and hardly ever without. German, which writes all nouns so,
+        doesn't count; the names of its claims are those of the others."""
+        large, small = Counter(), Counter()
         for claim, lang in zip(claims, languages):
-            for w in re.findall(r"[^\W\d_]+", claim):
-                if w[0].isupper():
-                    seen[w].add(lang)
-                else:
-                    small.add(w)
-        return {w for w, langs in seen.items() if len(langs - {None}) >= 3 and w.lower() not in small and len(w) > 2}
+            if lang in (None, "de"):
+                continue
+            for i, w in enumerate(re.findall(r"[^\W\d_]+", claim)):
+                if not w[0].isupper():
+                    small[w] += 1
+                elif i and len(w) > 2 and not w.isupper():
+                    large[w] += 1
+        return {w for w, n in large.items() if n > 3 * small[w.lower()]}
 
     def foreign(self, key: str) -> float:
         words = letters(key)
@@ -98,6 +101,9 @@ class WeakLabeller:
         written = re.findall(r"[^\W\d_]+", text)
         if any(w in self.names for w in written[1:]) or text.islower():
             return False
+        german = any(w in ("und", "die", "der", "wir", "Wir", "Sie", "Ihre", "Ihr", "Unser", "auf", "mit") for w in written)
+        if not german and any(w[0].isupper() and len(w) >= 6 and w.lower() not in self.words and w not in ("SITE", "JavaScript") for w in written[1:]):
+            return False  # an unknown name
         strange = sum(w.lower() not in self.words and w not in self.names and w != "SITE" for w in written)
         return strange >= max(2, 0.3 * len(written))
 
