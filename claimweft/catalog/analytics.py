@@ -200,9 +200,22 @@ def _page_chunks(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", F.filter(F.split("text", "\n"), lambda c: F.length(F.trim(c)) >= 20).alias("chunks"))
 
 
-@query()
+_MMR = """WITH a AS (SELECT page_id, list_filter(string_split(text, chr(10)), lambda c: length(trim(c)) >= 20) AS c FROM extracted_page WHERE text IS NOT NULL), k AS (SELECT page_id, unnest(range(0, len(c))) AS pos, unnest(c) AS chunk, len(c) AS n FROM a),
+t AS (SELECT page_id, pos, n, regexp_extract_all(lower(chunk), '[\\p{L}\\p{N}_]{2,}') AS w FROM k), u AS (SELECT page_id, pos, n, unnest(w) AS term FROM t UNION ALL SELECT page_id, pos, n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t),
+f AS (SELECT page_id, pos, n, term, count(*) AS tf FROM u GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY page_id, term) AS df FROM f), x AS (SELECT page_id, pos, term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM g WHERE df >= 2 AND df <= 0.95 * n),
+w AS (SELECT page_id, pos, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY page_id, pos)) AS weight FROM x), i AS (SELECT k.page_id, k.pos, k.n, coalesce(sum(w.weight), 0) AS imp FROM k LEFT JOIN w USING (page_id, pos) GROUP BY ALL),
+s AS (SELECT p.page_id, p.pos AS a, q.pos AS b, sum(p.weight * q.weight) AS sim FROM w p JOIN w q USING (page_id, term) GROUP BY ALL),
+p1 AS (SELECT page_id, arg_min(pos, (-round(imp, 12), pos)) AS p FROM i WHERE n > 3 GROUP BY 1), f1 AS (SELECT i.*, p1.p AS p1, 1 - coalesce(s.sim, 0) AS far FROM i JOIN p1 USING (page_id) LEFT JOIN s ON s.page_id = i.page_id AND s.a = i.pos AND s.b = p1.p),
+p2 AS (SELECT page_id, arg_min(pos, (-round(0.5 * imp + 0.5 * far, 12), pos)) AS p FROM f1 WHERE pos <> p1 GROUP BY 1), f2 AS (SELECT f1.*, p2.p AS p2, least(far, 1 - coalesce(s.sim, 0)) AS far2 FROM f1 JOIN p2 USING (page_id) LEFT JOIN s ON s.page_id = f1.page_id AND s.a = f1.pos AND s.b = p2.p),
+p3 AS (SELECT page_id, arg_min(pos, (-round(0.5 * imp + 0.5 * far2, 12), pos)) AS p FROM f2 WHERE pos <> p1 AND pos <> p2 GROUP BY 1),
+o AS (SELECT page_id, 1 AS rank, p AS pos FROM p1 UNION ALL SELECT page_id, 2, p FROM p2 UNION ALL SELECT page_id, 3, p FROM p3 UNION ALL SELECT page_id, pos + 1, pos FROM i WHERE n <= 3)
+SELECT o.page_id, o.rank, round(i.imp, 6) AS importance FROM o JOIN i USING (page_id, pos)"""
+
+
+@query(_MMR)
 def mmr_selection(spark: SparkSession, d: str) -> DataFrame:
-    return select_chunks(_page_chunks(spark, d), "page_id", "chunks", 3, "mmr", 0.5).drop("chunk")
+    out = select_chunks(_page_chunks(spark, d), "page_id", "chunks", 3, "mmr", 0.5)
+    return out.select("page_id", F.col("rank").cast("bigint").alias("rank"), "importance")
 
 
 @query()
