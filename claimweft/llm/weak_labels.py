@@ -68,7 +68,7 @@ class WeakLabeller:
         doesn't count; the names of its claims are those of the others."""
         large, small = Counter(), Counter()
         for claim, lang in zip(claims, languages):
-            if lang in (None, "de"):
+            if lang in (None, "de") or "\n" in claim:  # claims in two lines mix languages
                 continue
             for i, w in enumerate(re.findall(r"[^\W\d_]+", claim)):
                 if not w[0].isupper():
