@@ -171,7 +171,7 @@ def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     wrapped = F.concat(F.lit('{"choices":[{"delta":{"content":"x'), k, F.lit('"}}]}'))
-    return read_table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), delta_text(wrapped, "openai").alias("delta"))
+    return read_table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), delta_text(wrapped, "choices").alias("delta"))
 
 
 @query("""SELECT c.id, 'Check the claim.' || chr(10) || 'claim: ' || c.text || coalesce(chr(10) || 'quote: ' || c.quote, '') || coalesce(chr(10) || 'title: ' || p.title, '') AS content FROM claim c JOIN extracted_page p USING (page_id)""")

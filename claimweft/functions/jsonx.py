@@ -102,11 +102,11 @@ def array_objects(column: Column) -> Column:
     return _closed_objects(column)
 
 
-#: Path of the text in each provider's stream events.
+#: Path of the text in stream events, by the shape of the event.
 DELTA_PATHS = {
-    "openai": "$.choices[0].delta.content", "anthropic": "$.delta.text", "google": "$.candidates[0].content.parts[0].text", "ollama": "$.message.content",
+    "choices": "$.choices[0].delta.content", "delta": "$.delta.text", "candidates": "$.candidates[0].content.parts[0].text", "message": "$.message.content",
 }
 
 
-def delta_text(column: Column, provider: str) -> Column:
-    return F.get_json_object(column, DELTA_PATHS[provider])
+def delta_text(column: Column, shape: str) -> Column:
+    return F.get_json_object(column, DELTA_PATHS[shape])
