@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweft.catalog import query
-from claimweft.catalog.relational import GAP, session_events
+from claimweft.catalog.relational import GAP
 from claimweft.functions.time import micros
 from claimweft.session import shared_folder
 from claimweft.sources.tables import read_table
 from claimweft.streaming.frames import claim_stream, ndjson_frames, sse_frames
-from claimweft.streaming.live import event_stream, fan_out, parquet_sink, settled_stream, state_stream, thin_out_stream
+from claimweft.streaming.live import fan_out, parquet_sink, settled_stream, state_stream, thin_out_stream
 
 
 def _bodies(spark: SparkSession, d: str, before: str, after: str, joint: str, end: str) -> DataFrame:
@@ -91,6 +91,3 @@ def claim_delta_stream(spark: SparkSession, d: str) -> DataFrame:
     deltas = _source(spark, d).select(
         "user_id", F.col("event_id").alias("seq"), F.concat(F.lit('[{"text": "'), F.col("event_type"), F.lit(" "), F.get_json_object("props", "$.k"), F.lit('"},')).alias("text"))
     return _run(spark, claim_stream(deltas, "user_id"))
-
-
-__all__ = ["event_stream", "session_events"]

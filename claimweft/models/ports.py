@@ -6,7 +6,6 @@ A port maps columns to columns, so that a served model (an Arrow UDF) and a rule
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,7 +114,3 @@ def port(task: str, name: str, registry: dict[str, dict[str, Callable]] = PORTS)
 
 def register(task: str, name: str, function: Callable) -> None:
     PORTS.setdefault(task, {})[name] = function
-
-
-def first_of(*columns: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), columns)

@@ -7,7 +7,6 @@ No provider is called here: replies are tables that some crawler wrote. An adapt
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +73,3 @@ def fetched_sources(pages: DataFrame, html: str = "html", byte_limit: int = 400_
 def without_media(pages: DataFrame, html: str = "html") -> DataFrame:
     """(url, html, error): pages of a browser, without pictures; a page without content keeps its error."""
     return pages.select("url", X.drop_media(html).alias("html"), F.when(F.col(html).isNull(), F.coalesce("error", F.lit("no content"))).alias("error"))
-
-
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)
