@@ -212,8 +212,19 @@ def language_votes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: w <> '')) AS words FROM extracted_page WHERE length(text) BETWEEN 600 AND 20000 AND regexp_matches(text, '^[\\x20-\\x7e\\n]*$') AND title IS NOT NULL AND trim(title) = title AND title NOT LIKE '%  %'")
 def page_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Pages wrapped in HTML with furniture around the article, and read back."""
+    """Pages wrapped in HTML with furniture around the article, and read back: the slice that SQL can follow. All pages are
+    read by ``page_extract_whole``."""
     pages = read_table(spark, d, "extracted_page").filter("length(text) between 600 and 20000 and text rlike '^[\\\\x20-\\\\x7e\\\\n]*$' and title is not null and trim(title) = title and not title like '%  %'")
+    return _extracted(pages)
+
+
+@query()
+def page_extract_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every row of the table: any script, any length, with or without a text or a title."""
+    return _extracted(spread(read_table(spark, d, "extracted_page").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))))
+
+
+def _extracted(pages: DataFrame) -> DataFrame:
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n", "</p><p>")
     html = F.concat(
         F.lit("<html><head><title>"), F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;"), F.lit("</title></head><body><nav>Home News</nav><article><p>"), safe,
