@@ -52,13 +52,26 @@ r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN i USING (term)), l AS (S
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")
 def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The stated queries are the documents whose id is divisible by 100; terms in over a tenth of all documents say little
-    about likeness and are left out of the weights."""
+    about likeness and are left out of the weights; ``tfidf_neighbours_whole`` counts them."""
     docs = _documents(spark, d).select("doc_id", "text")
     w = tfidf.tfidf(docs, bigrams=False, max_share=0.1)
     out = tfidf.cosine_top(w, docs.filter("doc_id % 100 = 0"), 5)
     return out.select("query_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_WHOLE = _WORDS.replace("count(*) <= 0.1 * n", "count(*) <= 0.95 * n")
+
+
+@query(_WHOLE + """, s AS (SELECT a.doc_id AS query_id, b.doc_id AS id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")
+def tfidf_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The stated queries are the documents whose id is divisible by 100. Terms of up to 0.95 of all documents count, so
+    the members of a large group of copies keep their weights and find each other."""
+    docs = _documents(spark, d).select("doc_id", "text")
+    out = tfidf.cosine_top_blocks(tfidf.tfidf(docs, bigrams=False), docs.filter("doc_id % 100 = 0"), 5)
+    return out.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 _ENT = """WITH c AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS chunk FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
 k AS (SELECT * FROM c WHERE trim(regexp_replace(chunk, '[\\t\\r\\x{00a0}]', ' ', 'g')) <> ''), m AS (SELECT doc_id, pos, unnest(regexp_extract_all(chunk, '(?:[A-Z]\\.|[A-ZÀ-Ý][\\p{L}]+)(?: [A-ZÀ-Ý][\\p{L}]+)+')) AS entity FROM k),
 e AS (SELECT doc_id, entity, count(*) AS mentions, CASE WHEN regexp_matches(entity, '^[A-Z]\\. ') THEN 1.2 WHEN regexp_matches(entity, '(Institute|Office|Board|Company|Forum|Bureau|Institut|Instituto|Oficina|Red|Netz|Stadtwerke)') THEN 1.1 ELSE 1.0 END AS w FROM m GROUP BY ALL HAVING count(*) >= 2)"""

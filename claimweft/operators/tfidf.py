@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweft.functions.text import occurrences
 from claimweft.operators.search import top_per_key
+from claimweft.session import cut_lineage
 
 
 def tokens(text: Column) -> Column:
@@ -51,6 +56,81 @@ def cosine_top(weights: DataFrame, queries: DataFrame, k: int, key: str = "doc_i
     return top_per_key(pairs.withColumnRenamed(key, "id"), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
+def cosine_top_blocks(weights: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", block: int = 2_000, slice_rows: int = 512) -> DataFrame:
+    """``cosine_top`` for weights with hot terms: (query_id, id, score, rank), by products with blocks of queries.
+
+    A term of nearly all rows meets every query, so a join over terms would make a row for each such pair and term. Here
+    the queries go to the rows in blocks of ``block``, every block in one pass; a row's terms are added up in place, and
+    a batch keeps ``k`` rows a query at most. Rows without a shared term aren't listed."""
+    rows = cut_lineage(weights.groupBy(key).agg(F.collect_list("term").alias("t"), F.collect_list("weight").alias("w")))
+    stated = rows.join(queries.select(key).distinct(), key, "left_semi")
+    kind = dict(rows.select(key).dtypes)[key]
+    blocks, block_rows = [], []
+    for row in stated.toLocalIterator():
+        block_rows.append(tuple(row))
+        if len(block_rows) == block:
+            blocks.append(weights.sparkSession.sparkContext.broadcast(_query_block(block_rows)))
+            block_rows = []
+    if block_rows or not blocks:
+        blocks.append(weights.sparkSession.sparkContext.broadcast(_query_block(block_rows)))
+    found = None
+    for shared in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, slots, starts, who, weight, hot, dense = shared.value
+            for big in batches:
+                for begin in range(0, big.num_rows, slice_rows):
+                    batch = big.slice(begin, slice_rows)
+                    keys = batch.column(key).to_pylist()
+                    score, often = np.zeros((len(keys), len(ids))), np.zeros((len(keys), len(dense)))
+                    for r, (terms, values) in enumerate(zip(batch.column("t").to_pylist(), batch.column("w").to_pylist())):
+                        for term, value in zip(terms, values):
+                            h = hot.get(term)
+                            if h is not None:
+                                often[r, h] = value
+                                continue
+                            s = slots.get(term)
+                            if s is not None:
+                                a, b = starts[s], starts[s + 1]
+                                score[r, who[a:b]] += value * weight[a:b]
+                    score += often @ dense
+                    at = {x: r for r, x in enumerate(keys)}
+                    order = np.array([at[x] for x in sorted(keys)], np.int64)
+                    out: list[tuple[int, int, float]] = []
+                    for q in range(len(ids)):
+                        column = score[order, q]
+                        shown = np.where(column > 0, np.round(column, 6), -1.0)
+                        own = at.get(ids[q])
+                        best = np.argsort(-shown, kind="stable")[:k + 1]
+                        best = [b for b in best.tolist() if shown[b] >= 0 and order[b] != own][:k]
+                        out += [(q, int(order[b]), float(shown[b])) for b in best]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([ids[q] for q, _, _ in out], batch.schema.field(key).type), pa.array([keys[r] for _, r, _ in out], batch.schema.field(key).type),
+                        pa.array([x for _, _, x in out], pa.float64()),
+                    ], ["query_id", "id", "score"])
+
+        part = rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_per_key(found, ["query_id"], k, F.desc("score"), F.asc("id"))
+
+
+def _query_block(rows: list[tuple], share: float = 0.02, most: int = 1_000) -> tuple[list, dict[str, int], np.ndarray, np.ndarray, np.ndarray, dict[str, int], np.ndarray]:
+    """Ids of the queries, and their weights by term: slot of the term, start of the slot, queries and weights in it. The
+    terms of most queries are also rows of a matrix, so that a batch meets them in one product."""
+    by: dict[str, list[tuple[int, float]]] = {}
+    for q, (_, terms, values) in enumerate(rows):
+        for term, value in zip(terms, values):
+            by.setdefault(term, []).append((q, value))
+    starts = np.cumsum([0, *(len(x) for x in by.values())])
+    every = [x for held in by.values() for x in held]
+    hot = {t: i for i, t in enumerate(sorted((t for t, held in by.items() if len(held) > share * len(rows)), key=lambda t: (-len(by[t]), t))[:most])}
+    dense = np.zeros((len(hot), len(rows)))
+    for t, i in hot.items():
+        for q, value in by[t]:
+            dense[i, q] = value
+    return [r[0] for r in rows], {t: i for i, t in enumerate(by)}, starts, np.array([q for q, _ in every], np.int64), np.array([w for _, w in every], np.float64), hot, dense
+
+
 def entity_mentions(chunks: DataFrame, keys: list[str], text_col: str = "chunk") -> DataFrame:
     """(keys, entity, label) of capitalised runs of two words or more: a stand-in for a tagger, without a model. The label
     follows from the last word's ending or a leading initial."""

@@ -230,3 +230,22 @@ def test_hashed_vectors(spark):
     m = HashedEncoder(16).encode(["the council met", "the council met", "", None, "other words here"])
     assert np.allclose(m[0], m[1]) and not m[2].any() and not m[3].any() and np.isclose(np.linalg.norm(m[4]), 1)
     assert len(embed(spark.createDataFrame([("a b",), (None,)], "text string")).first().embedding) == 64
+
+
+def test_copies_of_a_third_of_all_rows_are_neighbours(spark, tmp_path):
+    from claimweft.catalog.analytics import tfidf_neighbours_whole
+
+    rows = [(i, "shared letter about river water" if i % 3 == 0 else f"note{i // 10} on topic{i % 7} near place{i % 5}") for i in range(0, 303)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in tfidf_neighbours_whole(spark, f"file://{tmp_path}").collect()}
+    assert [got[0, k] for k in range(1, 6)] == [(3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0), (15, 1.0)]
+    assert [got[300, k] for k in range(1, 6)] == [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0)]
+
+
+@pytest.mark.parametrize("block", [2, 2_000])
+def test_block_products_equal_the_join(spark, block):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k + k) % 13}" for k in range(2, 9))) for i in range(60)], "doc_id long, text string")
+    w, asked = tfidf.tfidf(docs, bigrams=False), docs.filter("doc_id % 12 = 0")
+    want = sorted(map(tuple, tfidf.cosine_top(w, asked, 4).select("query_id", "id", "score", "rank").collect()))
+    assert sorted(map(tuple, tfidf.cosine_top_blocks(w, asked, 4, block=block, slice_rows=7).select("query_id", "id", "score", "rank").collect())) == want
+    assert tfidf.cosine_top_blocks(w, asked.limit(0), 4).count() == 0
