@@ -1,11 +1,12 @@
 """Problem 7: passages of held-out items inside a training corpus.
 
-Word 4-grams of the items are the seeds; those that occur in few items are rare. A document and an item that share
-seeds on nearby diagonals, a rare one among them, are aligned by Smith-Waterman over words, and the pair is a case where
-the alignment covers enough consecutive words of the passage with few edits.
+Word 4-grams of the items are the seeds. A document and an item that share enough seeds on nearby diagonals are aligned
+by Smith-Waterman over words, and the pair is a case where the alignment covers enough consecutive words of the passage
+with few edits.
 
-Rarity is measured over the items and not over the corpus, so a passage that was copied into a third of all documents is
-found in each of them. The corpus isn't shuffled: items go to the documents, in blocks of a bounded number of words.
+No seed counts as too frequent: a passage that was copied into a third of all documents, or that many items share, is
+found in each of them and for each of them. Items of the same words are aligned once and reported one by one. The corpus
+isn't shuffled: items go to the documents, in blocks of a bounded number of words; the blocks don't change the result.
 
 Cases: null, empty and blank texts hold nothing; an item's first line is its instruction and doesn't count; an item of
 fewer words than ``min_words`` can't be found; repeated documents and repeated items are all reported; very long texts
@@ -47,25 +48,24 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of items: ids of their words, and their seeds in sorted order."""
+    """A block of passages: the items that hold each, ids of their words, and their seeds in sorted order."""
 
-    ids: list
+    ids: list[list]
     words: list[np.ndarray]
     vocabulary: dict[str, int]
     seeds: np.ndarray
     starts: np.ndarray
     item_of: np.ndarray
     pos_of: np.ndarray
-    rare: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[object, str]], rare_items: int) -> Items:
+    def build(cls, rows: list[tuple[object, str]]) -> Items:
         vocabulary: dict[str, int] = {}
-        ids, words = [], []
+        alike: dict[tuple[int, ...], list] = {}
         for key, text in rows:
             passage = (text or "").partition("\n")[2] or ""
-            ids.append(key)
-            words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(passage)], np.int64))
+            alike.setdefault(tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words_of(passage)), []).append(key)
+        ids, words = list(alike.values()), [np.array(w, np.int64) for w in alike]
         keys, item_of, pos_of = [], [], []
         for i, w in enumerate(words):
             k = _seeds(w)[0]
@@ -77,8 +77,7 @@ class Items:
         key, item, pos = key[order], np.concatenate([*item_of, np.empty(0, np.int64)])[order], np.concatenate([*pos_of, np.empty(0, np.int64)])[order]
         seeds, first = np.unique(key, return_index=True)
         starts = np.append(first, len(key))
-        rare = np.array([len(set(item[a:b])) <= rare_items for a, b in zip(starts, starts[1:])], bool)
-        return cls(ids, words, vocabulary, seeds, starts, item, pos, rare)
+        return cls(ids, words, vocabulary, seeds, starts, item, pos)
 
 
 def _seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +95,7 @@ def _seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(doc_of: np.ndarray, pos: np.ndarray, words: np.ndarray, items: Items, min_seeds: int, slack: int) -> list[tuple[int, int, int, int]]:
-    """Rows (document, item, diagonal low, diagonal high) with enough seeds on nearby diagonals, a rare one among them."""
+    """Rows (document, item, diagonal low, diagonal high) with enough seeds on nearby diagonals."""
     key, known = _seeds(words)
     n = len(key)
     if not n or not len(items.seeds):
@@ -110,7 +109,7 @@ def candidates(doc_of: np.ndarray, pos: np.ndarray, words: np.ndarray, items: It
         return []
     count = items.starts[slot + 1] - items.starts[slot]
     entry = np.repeat(items.starts[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    at, rare = np.repeat(at, count), np.repeat(items.rare[slot], count)
+    at = np.repeat(at, count)
     item, ipos = items.item_of[entry], items.pos_of[entry]
     doc, diagonal = doc_of[at], pos[at] - ipos
     # One key of 15 bits of the document in its batch, 22 of the item and 26 of the bin of diagonals.
@@ -118,11 +117,11 @@ def candidates(doc_of: np.ndarray, pos: np.ndarray, words: np.ndarray, items: It
     for shift in (0, slack):  # two overlapping rows of bins, so that diagonals within the slack share one of them
         key = base | (diagonal + shift + (1 << 20)) // width
         order = np.lexsort((ipos, key))
-        key, place, top = key[order], ipos[order], rare[order]
+        key, place = key[order], ipos[order]
         fresh = np.append(True, key[1:] != key[:-1])
         start = np.flatnonzero(fresh)
         fresh[1:] |= place[1:] != place[:-1]
-        good = (np.add.reduceat(fresh.astype(np.int64), start) >= min_seeds) & (np.add.reduceat(top.astype(np.int64), start) > 0)
+        good = np.add.reduceat(fresh.astype(np.int64), start) >= min_seeds
         end = np.append(start[1:], len(key))
         for s, e in zip(start[good], end[good]):
             d = diagonal[order[s:e]]
@@ -181,7 +180,7 @@ def best_window(path: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, min_w
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    min_words: int = 20, max_edits: float = 0.125, rare_items: int = 3, min_seeds: int = 8, slack: int = 6, block_words: int = 2_000_000,
+    min_words: int = 20, max_edits: float = 0.125, min_seeds: int = 8, slack: int = 6, block_words: int = 2_000_000,
 ) -> DataFrame:
     """One row (doc_id, item_id, n_words, n_edits) per document and item whose passage it holds.
 
@@ -203,7 +202,7 @@ def find_leaks(
     id_types = dict(docs.select(doc_id).dtypes)[doc_id], dict(items.select(item_id).dtypes)[item_id]
     found = None
     for rows in blocks:
-        shared = spark.sparkContext.broadcast(Items.build(rows, rare_items))
+        shared = spark.sparkContext.broadcast(Items.build(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
@@ -224,10 +223,10 @@ def find_leaks(
                     if n > rows_out.get((d, i), (0, 0))[0]:
                         rows_out[d, i] = n, edits
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([keys[d] for d, _ in rows_out], batch.schema.field("doc_id").type),
-                    pa.array([known.ids[i] for _, i in rows_out], item_arrow),
-                    pa.array([v[0] for v in rows_out.values()], pa.int32()),
-                    pa.array([v[1] for v in rows_out.values()], pa.int32()),
+                    pa.array([keys[d] for d, i in rows_out for _ in known.ids[i]], batch.schema.field("doc_id").type),
+                    pa.array([x for _, i in rows_out for x in known.ids[i]], item_arrow),
+                    pa.array([v[0] for (_, i), v in rows_out.items() for _ in known.ids[i]], pa.int32()),
+                    pa.array([v[1] for (_, i), v in rows_out.items() for _ in known.ids[i]], pa.int32()),
                 ], ["doc_id", "item_id", "n_words", "n_edits"])
 
         item_arrow = pa.int64() if id_types[1] in ("bigint", "int", "smallint", "tinyint") else pa.string()

@@ -150,6 +150,16 @@ def test_leaks(spark):
     assert leak.find_leaks(rows.limit(0), items).count() == 0 and leak.find_leaks(rows, items.limit(0)).count() == 0
 
 
+def test_passages_of_many_items_leak_for_all_of_them(spark):
+    shared, own = " ".join(f"common{i}" for i in range(40)), lambda k: " ".join(f"own{k}x{i}" for i in range(30))
+    rows = [(i, "Do it.\n" + shared) for i in range(6)] + [(i, f"Do it.\n{own(i)} {shared} {own(i + 100)}") for i in range(6, 12)] + [(12, "Do it.\n" + own(12))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " + shared + " c"), (2, shared), (3, own(12)), (4, "nothing of it " * 20)], "doc_id long, text string")
+    want = {(d, i) for d in (1, 2) for i in range(12)} | {(3, 12)}
+    for words in (2_000_000, 90):
+        assert {(r.doc_id, r.item_id) for r in leak.find_leaks(docs, items, block_words=words).collect()} == want
+
+
 def test_word_alignment_against_plain_recursion():
     rng = np.random.default_rng(5)
     for _ in range(100):
