@@ -11,7 +11,7 @@ from claimweft.functions.time import micros
 from claimweft.session import shared_folder
 from claimweft.sources.tables import read_table
 from claimweft.streaming.frames import claim_stream, ndjson_frames, sse_frames
-from claimweft.streaming.live import fan_out, parquet_sink, settled_stream, state_stream, thin_out_stream
+from claimweft.streaming.live import fan_out, parquet_sink, replay, settled_stream, state_stream, thin_out_stream
 
 
 def _bodies(spark: SparkSession, d: str, before: str, after: str, joint: str, end: str) -> DataFrame:
@@ -48,6 +48,12 @@ def _source(spark: SparkSession, d: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_order(spark: SparkSession, d: str, close_after_s: int | None = None) -> DataFrame:
+    """The events as a stream of one pass in the order of time; as many files a micro-batch as ``_source`` takes."""
+    events = read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return replay(events, f"{shared_folder(spark, 'replay')}/events", files=max(8, len(events.inputFiles())), close_after_s=close_after_s)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,12 +72,13 @@ f AS (SELECT event_type, user_id, event_id, k, us AS last, true AS emitted FROM
 UNION ALL SELECT e.event_type, e.user_id, e.event_id, e.k, CASE WHEN e.us - f.last >= GAP THEN e.us ELSE f.last END, e.us - f.last >= GAP FROM f JOIN e ON e.event_type = f.event_type AND e.user_id = f.user_id AND e.k = f.k + 1)
 SELECT event_id FROM f WHERE emitted""".replace("GAP", str(GAP * 1000)))
 def log_thin_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, thin_out_stream(_source(spark, d), ["event_type", "user_id"], GAP)).select("event_id")
+    return _run(spark, thin_out_stream(_in_order(spark, d), ["event_type", "user_id"], GAP)).select("event_id")
 
 
 @query()
 def log_settled_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = _run(spark, settled_stream(_source(spark, d), ["event_type", "user_id"], "1 hour"))
+    """All stretches, those at the end of the table too: they are closed by a row of two days later."""
+    out = _run(spark, settled_stream(_in_order(spark, d, 2 * 86_400), ["event_type", "user_id"], "1 hour"))
     return out.select("event_type", "user_id", micros("start").alias("start_us"), "value", "changes")
 
 

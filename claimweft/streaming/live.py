@@ -1,7 +1,8 @@
 """Event logs as streams: thinning, debouncing, session states, and the fan-out to sinks.
 
 Event time counts, with a watermark; a micro-batch is put in order before it is folded. Rows behind the watermark are
-dropped, which arrival-time processing has no notion of.
+dropped, which arrival-time processing has no notion of. A table that is run through a stream once has no late rows:
+``replay`` hands it over in the order of time and closes what is open at its end.
 """
 
 from __future__ import annotations
@@ -12,16 +13,40 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimweft.operators.eventlog import empty_state, step, view
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema: str | T.StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def replay(events: DataFrame, folder: str, time: str = "ts", files: int = 8, per_batch: int = 8, close_after_s: int | None = None) -> DataFrame:
+    """A bounded table as a stream in the order of ``time``, whatever its files were: ``files`` slices of the clock, read
+    ``per_batch`` to a micro-batch, so no row comes behind the watermark.
+
+    ``close_after_s``, more than the delay and the longest gap, adds one row of that much later and else nulls. It moves
+    the watermark past the end of all windows but its own, which never closes and so never leaves."""
+    spark = events.sparkSession
+    kept = events
+    if close_after_s is not None:
+        last = events.agg(F.max(time).alias("_last")).filter("_last is not null")
+        row = last.select(*[(F.col("_last") + F.expr(f"interval {close_after_s} seconds")).cast(t).alias(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+        kept = events.unionByName(row)
+    kept.repartitionByRange(files, time).write.parquet(folder)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+    begin = fs.getFileStatus(path).getModificationTime() - 1_000 * len(names)
+    for k, name in enumerate(names):  # the source takes files by their time; the parts are numbered by range
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(path, name), begin + 1_000 * k, -1)
+    return event_stream(spark, folder, events.schema, per_batch)
+
+
 def thin_out_stream(events: DataFrame, keys: list[str], gap_ms: int = 3_000, delay: str = "10 minutes") -> DataFrame:
     """Streaming form of ``eventlog.thin_out``: the last emitted time of each key is the state. It expires once the
     watermark has passed it by the gap, so keys that fall silent cost nothing."""
@@ -45,7 +70,8 @@ def thin_out_stream(events: DataFrame, keys: list[str], gap_ms: int = 3_000, del
 
 
 def settled_stream(events: DataFrame, keys: list[str], gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Debounce: the last value of each session of changes, once the watermark shows that it has settled."""
+    """Debounce: the last value of each session of changes, once the watermark shows that it has settled. At the end of a
+    table the last sessions stay open, unless ``replay`` closes them."""
     window = F.session_window("ts", gap)
     return events.withWatermark("ts", delay).groupBy(*keys, window).agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("changes")).select(
         *keys, F.col("session_window.start").alias("start"), "value", "changes")

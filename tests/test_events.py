@@ -100,3 +100,20 @@ def test_claims_come_as_they_close(spark):
     stream = event_stream(spark, f"{base}/in", "page string, seq int, text string")
     fan_out(claim_stream(stream, "page", n=3), f"{base}/check", parquet_sink(f"{base}/out")).awaitTermination()
     assert sorted((r.claim_id, r.claim) for r in spark.read.parquet(f"{base}/out/batch=*").collect()) == [("c1", "a"), ("c2", "b"), ("c3", "c")]
+
+
+def test_log_streams_are_whole_over_many_unordered_files(spark):
+    from claimweft.catalog.relational import GAP
+    from claimweft.catalog.streams import log_settled_stream, log_thin_stream
+
+    base = shared_folder(spark, "many")
+    rows = [(i, T0 + dt.timedelta(minutes=7 * i), i % 3, "ab"[i % 2] if i % 11 else "c", float(i), "{}") for i in range(600)]
+    rows += [(1_000 + i, T0 + dt.timedelta(minutes=7 * i, milliseconds=GAP // 2), i % 3, "ab"[i % 2] if i % 11 else "c", float(i), "{}") for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.withColumn("_o", F.xxhash64("event_id")).repartition(20, "_o").drop("_o").write.parquet(f"{base}/events.parquet")
+    assert len(spark.read.parquet(f"{base}/events.parquet").inputFiles()) > 16
+    got = sorted(r.event_id for r in log_thin_stream(spark, base).collect())
+    assert got == sorted(r.event_id for r in eventlog.thin_out(events, ["event_type", "user_id"], GAP).collect())
+    want = sorted((r.event_type, r.user_id, r.value, r.changes) for r in eventlog.settled(events, ["event_type", "user_id"], 3_600_000, "value").collect())
+    assert sorted((r.event_type, r.user_id, r.value, r.changes) for r in log_settled_stream(spark, base).collect()) == want
+    assert sum(n for *_, n in want) == len(rows)
