@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,15 @@ from claimweft.functions.text import jaccard
 from claimweft.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, component): the least node of each component. ``edges`` has a and b.
 
     Alternating large-star and small-star steps: neighbours are hooked to the least node of a neighbourhood, which halves
-    the depth each round. Hot nodes are met by aggregates that combine before the shuffle. Every round is checkpointed.
+    the depth each round, until nothing moves. Hot nodes are met by aggregates that combine before the shuffle. Every round
+    is checkpointed.
     """
     e = cut_lineage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
@@ -31,27 +34,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     return nodes.select(node).distinct().join(roots, node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, node: str = "node", min_size: int = 2, max_rounds: int = 200) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame, node: str = "node", min_size: int = 2, max_rounds: int = 30, rest: int = 200_000) -> DataFrame:
     """(seed, node) of greedy stars: the least remaining node takes all its remaining neighbours; stars of at least
     ``min_size`` stay.
 
     The greedy order is kept exactly, in parallel rounds: a node is a seed once no lesser neighbour remains undecided, and
-    a node is taken by its least seed. Rounds follow the longest falling chain of neighbours, not the number of nodes.
+    a node is taken by its least seed. Rounds follow the longest falling chain of neighbours, not the number of nodes, and
+    go on until no node is open. After ``max_rounds`` of them an open part of at most ``rest`` nodes and pairs is settled in
+    one piece, since a long chain gives up only a star or so a round.
     """
     pairs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     pairs = cut_lineage(pairs)
     open_nodes = cut_lineage(nodes.select(F.col(node).alias("n")).distinct())
     members = None
-    for _ in range(max_rounds):
+    for done in itertools.count():
         if open_nodes.isEmpty():
             break
         live = pairs.join(open_nodes, pairs.a == open_nodes.n, "left_semi").join(open_nodes, F.col("b") == F.col("n"), "left_semi")
+        if done >= max_rounds and open_nodes.count() <= rest and live.count() <= rest:
+            members = _union(members, _stars_in_order(open_nodes, live))
+            break
         blocked = live.filter("b < a").select(F.col("a").alias("n")).distinct()
         seeds = open_nodes.join(blocked, "n", "left_anti")
         taken = live.join(seeds, live.a == seeds.n, "left_semi").groupBy(F.col("b").alias("n")).agg(F.min("a").alias("seed"))
         taken = taken.join(seeds, "n", "left_anti")
         step = cut_lineage(seeds.select(F.col("n").alias("seed"), "n").unionByName(taken.select("seed", "n")))
-        members = step if members is None else members.unionByName(step)
+        members = _union(members, step)
+        if done % 20 == 19:
+            members = cut_lineage(members)
         open_nodes = cut_lineage(open_nodes.join(step, "n", "left_anti"))
     if members is None:
         return nodes.select(F.col(node).alias("seed"), F.col(node)).limit(0)
@@ -59,6 +69,24 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, node: str = "node", min_si
     return members.join(big, "seed", "left_semi").select("seed", F.col("n").alias(node))
 
 
+def _union(members: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if members is None else members.unionByName(more)
+
+
+def _stars_in_order(open_nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """(seed, n) of the greedy stars of a small open part, node by node."""
+    near: dict = {}
+    for a, b in live.select("a", "b").collect():
+        near.setdefault(a, []).append(b)
+    seed_of: dict = {}
+    for n in sorted(r[0] for r in open_nodes.collect()):
+        if n not in seed_of:
+            for m in [n, *near.get(n, [])]:
+                seed_of.setdefault(m, n)
+    kind = dict(open_nodes.dtypes)["n"]
+    return open_nodes.sparkSession.createDataFrame([(s, n) for n, s in seed_of.items()], f"seed {kind}, n {kind}")
+
+
 def pagerank(
     nodes: DataFrame, edges: DataFrame, group: str, rounds: int = 20, damping: float = 0.85, node: str = "node",
 ) -> DataFrame:

@@ -71,6 +71,13 @@ def test_distributed_stars_follow_the_greedy_order(spark, seed):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize(("n", "rounds", "rest"), [(300, 2, 200_000), (24, 2, 0)])
+def test_long_chains_keep_their_rest(spark, n, rounds, rest):
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = graph.star_clusters(spark.range(n).withColumnRenamed("id", "node"), edges, max_rounds=rounds, rest=rest)
+    assert sorted(map(tuple, got.collect())) == [(i - i % 2, i) for i in range(n)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 6), (6, 7), (9, 7), (1, 2), (2, 2)], "a int, b int")
     nodes = spark.range(11).select(F.col("id").cast("int").alias("node"))
