@@ -175,6 +175,15 @@ def test_word_alignment_against_plain_recursion():
 
 # --- 8: stuffed pages
 
+def test_keywords_in_rotation_are_odd(spark, prose):
+    things = [f"{a}{b} {b}{a}" for a in ("solar", "tyre", "magnet", "phone", "detox") for b in ("ora", "eno", "ista", "umi", "ante")]
+    page = " ".join(f"{thing} " * (2 + i % 4) for i, thing in enumerate(things))
+    article = "\n".join(r.text for r in table(spark, "claim").filter("page_id < 60 and text rlike '[.]$'").select("text").limit(40).collect())
+    rows = spark.createDataFrame([(1, page), (2, article)], "doc_id long, text string")
+    got = {r.doc_id: r.odd_share for r in spam.find_stuffed(rows, prose).collect()}
+    assert got[1] > 0.5 and got[2] <= 0.5
+
+
 @pytest.fixture(scope="module")
 def prose(spark):
     return spam.fit_prose_model(table(spark, "lang_sample"), table(spark, "eval_item"), table(spark, "claim"))
