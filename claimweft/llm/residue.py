@@ -109,11 +109,11 @@ def slots(text: str) -> int:
 
 #: Letters that every notice or filler holds one of; texts without any are passed over at the speed of one scan.
 _CUES = (
-    "script|skript| js |active content|aktive inhalt|contenus actif|contenu actif|contenido activo|contenuti attiv|contenuto attiv|actieve inhoud"
-    "|http|error|erreur|errore|fehler|fout |status|statut|estado|stato |code|codice|código|codigo|sqlstate|traceback|stack trace|exception|fatal|uncaught|warning:|failed to open"
+    "script|skript|js|active content|aktive inhalt|contenus actif|contenu actif|contenido activo|contenuti attiv|contenuto attiv|actieve inhoud"
+    "|http|error|erreur|errore|fehler|fout|status|statut|estado|stato|code|codice|código|codigo|sqlstate|traceback|stack trace|exception|fatal|uncaught|warning:|failed to open"
     "|cannot read|segmentation fault|query failed|rendering failed|database|gateway|noscript|human|robot|no bot|als mensch|ein mensch|checking|verifying|security check|browser|verbindung wird"
     "|sicherheitsprüf|humain|vérifions|contrôle de|humano|navegador|comprobando|control de|umano|una persona|verificando|controllo di|een mens|controleren|veiligheidscont"
-    "|access|zugriff|your request|this visit|permission|anfrage|ihr besuch|berechtigung|accès|droits|acceso|permiso|accesso|permessi|toegang|rechten|too many|slow down|votre demande|votre visite"
+    "|access|zugriff|your request|this visit|permission|anfrage|ihr besuch|besuch wurde|berechtigung|accès|droits|acceso|permiso|accesso|permessi|toegang|rechten|too many|slow down|votre demande|votre visite"
     "|votre requête|su solicitud|su visita|su petición|la tua richiesta|je verzoek|je bezoek|demasiadas|trop de|zu viele|troppe|te veel|session|sitzung|sesión|sessie|not available"
     "|nicht verfügbar|votre pays|su país|tuo paese|jouw land|sorry|oops|uh-oh|oh no|hoppla|oh je|entschuldigung|oups|mince|désolé|vaya|ups|lo sentimos|ops|ci dispiace|oeps|helaas"
     "|no longer|not exist|not be found|was deleted|has expired|has moved|mistyped|couldn't find|went wrong|existiert|gelöscht|nicht gefunden|nicht geladen|kaputt|verschoben|abgelaufen|nicht mehr"
@@ -121,9 +121,12 @@ _CUES = (
     "|is verplaatst|iets mis|no encontrada|non trovata|introuvable|niet gevonden|not found|maintenance|back soon|wartung|gleich zurück|revenons|mantenimiento|volvemos|manutenzione|torniamo"
     "|onderhoud|zo terug|temporarily|zurzeit|momentanément|en este momento|momentaneamente|tijdelijk|answer in time|will not load|does not support|wird nicht|no es compatible|pris en charge"
     "|supportato|ondersteund|loading|content loads|geladen|chargement|cargando|caricamento|gleich geht|almost there|hold on|one moment|einen moment|un instant|un momento|een ogenblik"
-    "|lorem|dolor sit|sample text|test test|asdf|qwer|todo|fixme|tbd|your headline|your title|your text|add a |insert a|replace th|replace a|enter a|placeholder|hier steht|blindtext|beispieltext"
+    "|lorem|dolor sit|sample text|test test|asdf|qwer|todo|fixme|tbd|headline goes here|wir prüfen|diese seite gibt es nicht|placeholder|hier steht|blindtext|beispieltext"
     "|segnaposto|provisoire|d'exemple|de relleno|de ejemplo|de muestra|voorbeeldtekst|di esempio|di prova|vervanging|hier komt"
-).split("|")
+).split("|") + [
+    *(f"{verb} {of}{what}" for verb in ("your", "add", "insert", "replace", "enter") for of in ("", "a ", "this ", "your ") for what in ("headline", "title", "description", "text", "block", "lead", "copy")),
+    *(f"{you} {no}{a}bot" for you in ("you are", "you're") for no in ("", "not ") for a in ("", "a ")),
+]
 
 
 @functools.cache
@@ -149,7 +152,7 @@ def mock_latin(words: list[str], function_words: frozenset[str]) -> bool:
     return sum(bool(_LATIN.search(w.lower())) for w in bare) >= 0.6 * len(words) and sum(w[:1].isupper() for w in bare) <= max(2, len(words) // 8)
 
 
-_NUMBERED = re.compile(r"(?:^|[.!?…]\s|\n)\s*[45]\d\d ?[-–:]")
+_NUMBERED = re.compile(r"(?:^|[.!?…]\s|\n)\W*[45]\d\d ?[-–:]")
 
 
 def may_hold_notice(text: str, function_words: frozenset[str]) -> bool:

@@ -282,6 +282,46 @@ Nobody from the board was present when the folder was opened, and the minutes do
 Cookie settings"""
 
 
+def sample(tree, draw):
+    """A text that a pattern's parse tree allows; anchors and the like are left to the search."""
+    from re import _constants as C
+
+    out = ""
+    for op, at in tree:
+        if op is C.LITERAL:
+            out += chr(at)
+        elif op is C.ANY:
+            out += draw.choice("xz ")
+        elif op is C.IN:
+            kind, x = draw.choice([a for a in at if a[0] is not C.NEGATE])
+            out += chr(x) if kind is C.LITERAL else chr(draw.randint(*x)) if kind is C.RANGE else {C.CATEGORY_DIGIT: "4", C.CATEGORY_WORD: "k", C.CATEGORY_NOT_WORD: "*"}.get(x, " ")
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            out += "".join(sample(at[2], draw) for _ in range(draw.randint(at[0], min(at[1], at[0] + 2))))
+        elif op is C.SUBPATTERN:
+            out += sample(at[-1], draw)
+        elif op is C.BRANCH:
+            out += sample(draw.choice(at[1]), draw)
+    return out
+
+
+def test_every_alternative_of_the_rules_has_a_cue():
+    import random
+    import re
+    from re import _parser
+
+    from claimweft.llm import residue
+
+    draw, seen = random.Random(5), 0
+    for rule in residue._NOTICES + residue._FILLER:
+        tree = _parser.parse(rule.pattern, rule.flags & ~re.UNICODE)
+        texts = [t for t in (sample(tree, draw) for _ in range(4_000)) if rule.search(t)]
+        seen += len(texts)
+        assert [t for t in texts if not residue.may_hold_notice(t, frozenset())] == []
+    assert seen > 40_000
+    for t in ("Headline goes here", "Wir prüfen das.", "Diese Seite gibt es nicht.", "You are not a bot", "Please turn on JS.", "Enter title", "Insert text", "* 404: Seite"):
+        assert residue.may_hold_notice(t, frozenset()) and residue.read_lines([t], frozenset())[0][0] != "text"
+
+
 def test_article_is_kept(spark):
     text = "\n".join(blocks.plain_line(x) for x in PAGE.split("\n") if x.strip() and not x.startswith("#"))
     rows = spark.createDataFrame([(1, PAGE, text), (2, None, text), (3, PAGE, None), (4, "", ""), (5, PAGE, text), (6, "\n\n".join([PAGE] * 60), "")], "page_id long, markdown string, text string").withColumn("text_lines", F.lit(1))
