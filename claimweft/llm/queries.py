@@ -129,9 +129,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    """How far pages are from prose: documents and words by the tenth of odd words, in bounded groups."""
+    """How far pages are from prose, and on which side: documents and words by the tenth of odd words, in bounded groups."""
     tenth = F.least(F.floor(F.col("odd_share") * 10), F.lit(9)).cast("int").alias("tenth")
-    return _stuffed(spark, d).groupBy(tenth).agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.avg("nats").alias("nats"))
+    return _stuffed(spark, d).groupBy(tenth).agg(
+        F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.count_if(F.col("high_share") > 0.5).alias("high"), F.count_if(F.col("low_share") > 0.5).alias("low"),
+        F.avg("nats").alias("nats"), F.avg("word_nats").alias("word_nats"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -184,6 +184,37 @@ def test_keywords_in_rotation_are_odd(spark, prose):
     assert got[1] > 0.5 and got[2] <= 0.5
 
 
+def test_each_side_finds_what_the_other_cannot(spark, prose):
+    things = [a + b for a in ("sleep ", "solar", "used ", "snel", "gouttes ", "cover ") for b in ("drops", "charger", "tyres", "krediet", "sommeil", "telefono", "quote")]
+    lists = {1: "Tags: " + ",".join(things), 2: " ".join(sorted(things)), 3: "; ".join(things), 4: "\n".join(things), 5: "keywords= " + ", ".join(t.replace(" ", "_") for t in things)}
+    repeated = {6: "Looking for used tyres? Used tyres here. Our used tyres are the used tyres you need when you search used tyres. " * 8}
+    rows = spark.createDataFrame(list({**lists, **repeated}.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in spam.find_stuffed(rows, prose).collect()}
+    assert {k: got[k].high_share for k in lists if got[k].high_share <= 0.5} == {}
+    assert all(got[k].low_share > 0.5 >= got[k].high_share for k in repeated)
+
+
+def test_word_costs_are_those_of_a_cache(prose):
+    reader, draw = spam.Reader(prose), random.Random(3)
+    for n in (1, 5, 99, 100, 101, 250):
+        words = [f"word{draw.randint(0, 9)}x{'abcdef'[draw.randint(0, 5)]}" for _ in range(n)]
+        pages = reader.pages(["Nothing here", " ".join(words), "", "one two two"])
+        want = []
+        for i, w in enumerate(words):
+            a = i // 100 * 100
+            around = words[a:a + 100] if a + 100 <= n or not a else words[-100:]
+            want.append(-np.log(spam.CACHE * (around.count(w) - 1) / max(1, len(around) - 1) + (1 - spam.CACHE) / spam.VOCABULARY))
+        assert np.allclose(pages.word_costs()[2:2 + n], want)
+        assert pages.words.tolist() == [2, n, 3]
+
+
+def test_scores_do_not_depend_on_neighbours(spark, prose):
+    texts = [r.text for r in table(spark, "documents").filter("text <> ''").limit(60).collect()]
+    together = np.array(spam.Scorer(prose).scores(texts))
+    alone = np.array([spam.Scorer(prose).scores([t]) for t in texts])[:, :, 0].T
+    assert np.allclose(together, alone)
+
+
 @pytest.fixture(scope="module")
 def prose(spark):
     return spam.fit_prose_model(table(spark, "lang_sample"), table(spark, "eval_item"), table(spark, "claim"))
@@ -200,6 +231,7 @@ def test_stuffed_pages(spark, prose):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("nats", F.lit("clash"))
     odd = {r.doc_id: r.odd_share for r in spam.find_stuffed(rows, prose).collect()}
     assert {d for d, s in odd.items() if s > 0.5} == {1, 2, 3, 4, 5}
+    assert {11, 12} <= set(odd) and not {9, 10} & set(odd)  # texts of any length are scored
     assert spam.find_stuffed(rows.limit(0), prose).count() == 0
     assert spam.find_stuffed(spark.createDataFrame([(1, t) for t in ODD], "doc_id long, text string"), prose).count() > 0
 
