@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from claimweft.llm.canonical import map_to_canonical
 from claimweft.llm.lang import SURE, declared, detect_column, detect_lines, fit_language_code
 from claimweft.llm.leak import find_leaks
-from claimweft.llm.residue import find_residue, page_signs, snippet_signs
-from claimweft.llm.samples import bounded_sample
-from claimweft.llm.spam import find_stuffed, fit_prose_model, function_words_of
+from claimweft.llm.residue import find_residue, page_signs, prose_words, snippet_signs
+from claimweft.llm.spam import find_stuffed, fit_prose_model
 from claimweft.llm.split import oversized, split_oversized
 from claimweft.llm.tokenize import decode_documents, encode_documents
 from claimweft.session import cut_lineage
 from claimweft.sources.tables import read_table
 
 
-def _function_words(spark: SparkSession, d: str) -> frozenset[str]:
-    rows = bounded_sample(read_table(spark, d, "lang_sample"), ["lang", "text"], 4_000)
-    return function_words_of([(r[0], r[1]) for r in rows])
+def _prose(spark: SparkSession, d: str) -> frozenset[str]:
+    claims, sentences = read_table(spark, d, "claim").select("text"), read_table(spark, d, "lang_sample").select("text")
+    passages = read_table(spark, d, "eval_item").select(F.regexp_replace("text", r"^[^\n]*\n", "").alias("text"))
+    return prose_words(claims.unionByName(sentences).unionByName(passages))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     code = fit_language_code(read_table(spark, d, "lang_sample"), read_table(spark, d, "eval_item"))
-    words = _function_words(spark, d)
+    words = _prose(spark, d)
     signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), words, code, keep=("language",)).drop("text_lines", "markdown_lines"))
     left_out = find_residue(signs.drop("page_lang", "page_sure", "foreign", "language"))
     pages = signs.join(left_out, ["src", "row_id"], "left_anti").filter("page_lang is not null")
@@ -55,13 +55,13 @@ def p1_document_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    words = _function_words(spark, d)
+    words = _prose(spark, d)
     pages = page_signs(read_table(spark, d, "extracted_page"), words).drop("text_lines", "markdown_lines")
-    return find_residue(cut_lineage(pages.unionByName(snippet_signs(read_table(spark, d, "search_hit"), words))))
+    return find_residue(cut_lineage(pages.unionByName(snippet_signs(read_table(spark, d, "search_hit"), words), allowMissingColumns=True)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), _function_words(spark, d)))
+    signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), _prose(spark, d)))
     left_out = find_residue(signs.drop("text_lines", "markdown_lines"))
     lines = signs.join(left_out, ["src", "row_id"], "left_anti")
     fields = [F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_lines").alias("lines")) for f in ("text", "markdown")]

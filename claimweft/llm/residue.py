@@ -1,26 +1,31 @@
 """Problem 2: template residue, filler and error pages in place of content.
 
-Records made from one template agree in everything but their slots. Sentences are reduced to a skeleton with numbers,
-hosts, identifiers and variables as slots; records that share a skeleton are thereby aligned.
-
-* A slot that still holds a variable's name, a default or a blank ("{{city}}", "[INSERT DATE HERE]", "XXXX") is residue,
-  unless a short quotation shows it ("Dear {{name}}", as a report has it).
-* A sentence that says it is an error, an access message, a demand for scripts or filler is a notice. Where the words
-  alone don't settle it, the sentence counts only if its skeleton recurs in several records: a message that comes whole
-  from a template does, a sentence of an article doesn't.
-
-A record is a case where slots are unfilled, or where notices stand and nothing of an article remains: for snippets the
-notices are most of the words; for pages what the block labeller keeps as the article is set against them.
-
-Cases: null, empty and blank texts are no case; repeated records are each reported; a text of any length is read whole;
-an empty table gives no rows; extra columns are ignored.
+Records of one template agree in everything but their slots. Each sentence is reduced to its skeleton: names, numbers,
+addresses and units in marks are slots, the rest is fixed text; sentences of the same skeleton are thereby aligned, and
+what their slots hold is compared across all records. No list of phrases or of variable names is used.
+
+* Unfilled slots. A unit in marks, or a blank, has a form ("{{w}}", "%w%", "[w w w]", "X+"). A form is induced as that of a
+  variable, default or blank where it stands in slots that other records of the same template fill with names or numbers:
+  in ``ALIGNED`` slots at least, and in ``ALIGNED_SHARE`` of all slots that it stands in. A record that holds such a form is
+  residue, unless a short quotation shows it ("Dear {{name}}", as a report has it).
+* Error templates and filler. Fixed text is strange where its words aren't those of prose. A template of strange fixed text
+  whose slots vary from record to record is a report on such things; one that comes with the same words wherever it
+  recurs, on ``RECURS`` addresses at least, is whole template text, and the capitalised words that it repeats are known as
+  fixed text in sentences that are too rare to be aligned. A strange sentence without two varying names is a notice.
+
+A snippet is a case where notices are most of its words. A page is a case where of what the block labeller keeps as its
+article hardly anything but notices is left. Pages and snippets are aligned apart, so that neither changes the other.
+
+Cases: null, empty and blank texts are no case; repeated records are each reported, but one address counts once; a text of
+any length is read whole; an empty table gives no rows; extra columns are ignored; without an address every record counts
+as one of its own. A language of which the prose has nothing is strange throughout: give prose of every language.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -30,238 +35,252 @@ from pyspark.sql import functions as F
 from claimweft.llm.blocks import BlockLabeller, Reader, label_batch
 from claimweft.llm.lang import SURE, Detector, LanguageCode
 
-_NAME = r"[^\W\d][\w.]{0,30}"
-#: Slots whose syntax no prose has.
-_SLOTS = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|\{{%[^{{}}%]*%\}}|<%[^<>%]*%>|%\({_NAME}\)[sd]|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@"
-    rf"|__[A-Z][A-Z0-9_.]*__|(?<!\w)#[A-Z][A-Z0-9_.]*#|(?<![\w%])%[A-Z][A-Z0-9_.]*%|(?<![\w{{$]){{{_NAME}}}(?!\}})"
-    rf"|\[(?:INSERT|ENTER|ADD|YOUR)\b[^\[\]]*\]|\[[^\[\]]{{1,40}} (?:eintragen|einfügen|insérer|insertar|inserire|invullen)\]|(?<!\w)XXX+(?!\w)|(?<!\w)xxx+(?!\w)"
-)
-#: Slots that need a telling name, or company.
-_LOOSE = re.compile(rf"<({_NAME})>|«({_NAME})»|(?<!\w)(undefined)(?!\w)|\[object Object\]")
-_TAGS = frozenset("a b i u s p br hr em strong span div ul ol li h1 h2 h3 h4 h5 h6 img table tr td th sub sup code pre small cite q del ins".split())
-#: Names that fields of templates have.
-FIELDS = frozenset(
-    "title headline teaser section author user date datum fecha data city ort ville ciudad città stad region company firma amount betrag name nombre nome"
-    " naam prénom vorname first_name last_name quote quote_1 region.name article.lead lead body content text summary image caption url link placeholder".split()
-)
+#: Words of prose that are kept, the most frequent ones, and how often a word must occur.
+PROSE_WORDS, PROSE_LEAST = 100_000, 3
+#: Share of words that prose doesn't have, from which on fixed text is strange, and from which on it is worth aligning.
+STRANGE, ALIGN_FROM = 0.25, 0.2
+#: Slots, and the share of all slots of a form, that must be filled elsewhere; fixed words that a template has at least.
+ALIGNED, ALIGNED_SHARE, FIXED_WORDS = 3, 0.05, 3
+#: Addresses on which a template or one of its words must recur; a slot of so many values for its addresses varies.
+RECURS, VARIES, VARIES_SHARE = 3, 3, 0.5
+#: Sentences of fewer words that aren't strange say nothing either way ("Sorry!", "Back to the start").
+NEUTRAL_WORDS = 5
+#: What stays of an article on a page that has none: words at most, or a multiple of the notices.
+PAGE_WORDS, PAGE_SHARE = 15, 1.2
+MEMO = 300_000
+
+_SENTENCE_END = re.compile(r"[.!?…][”»“\"’')\]]*\Z")
+_BRACKETS = re.compile(r"\{[^{}\n]{1,60}\}|\[[^\[\]\n]{1,60}\]|<[^<>\n]{1,60}>")
 _QUOTED = re.compile(r"[“„«\"‘]([^“”„«»\"‘’]{1,60})[”“»\"’]")
-
-_SCRIPT = r"(?:java ?script|js|scripts?|scripting|skripte?n?|aktive inhalte|active content|contenus? actifs?|contenido activo|contenut[oi] attiv[oi]|actieve inhoud)"
-_DEMAND = (
-    r"please|must|need(?:s|ed)?|requires?|enable|activate|turn(?:ing)?|switch(?:ed)?|allow(?:ed|ing)?|depends? on|cannot run|works? only|won't|will not|disabled|blocks?|blocked|kindly|keep|seems"
-    r"|bitte|funktioniert (?:nicht|nur)|werkt niet|müssen|muss|benötigt|braucht|erlaubt|erlauben|aktivieren|einschalten|eingeschaltet\w*|schalten|zulassen|voraus|blockiert|abgeschaltet|anscheinend|offenbar|ohne sie"
-    r"|veuillez|merci|activez|activer|autoris\w+|exige|ne fonctionne pas|nécessit\w+|besoin|laissez|bloqu\w+|désactiv\w+|devez|requiert"
-    r"|por favor|debe|active|activar|permita\w*|permitir|permitidos|necesita|requiere|no funciona|mantenga|bloquea\w*|desactivad\w+|habilit\w+"
-    r"|si prega|non funziona|attiv\w+|consent\w+|richiede|bisogno|lascia|devi|deve|blocca\w*|disattivat\w+|abilit\w+"
-    r"|schakel\w*|ingeschakeld|vereist|nodig|sta|toegestaan|houd|werkt alleen|uitgeschakeld|blokkeert|geblokkeerd|zet|moet"
-)
-_CODE = r"(?:http|error|code|status|fehler|erreur|statut|errore|codice|código|codigo|estado|stato|fout|foutcode)"
-#: Sentences that are notices by their words.
-_NOTICES = [re.compile(p, re.I) for p in (
-    rf"^\W*{_CODE} ?:? ?[1-5]\d\d\b", r"^\W*[45]\d\d ?[-–:] ?\w", r"\bsqlstate\b|^traceback\b|stack trace|\w+exception\b at|^fatal error\b|uncaught \w*error|^warning: \w+\(|failed to open stream|^cannot read propert|segmentation fault|unhandled exception|^query failed|template rendering failed|connect to the database|database connection|bad gateway|gateway timeout",
-    rf"\b(?:{_DEMAND})\b.*\b{_SCRIPT}\b|\b{_SCRIPT}\b.*\b(?:{_DEMAND})\b|^noscript\b|\(scripts required\)",
-    r"(?:you are|you're) (?:not )?(?:a )?(?:human|robot|bot)|sure you are no bot|not a robot|checking your browser|checking that you|verifying (?:that )?you|security check|als mensch|ein mensch sind|prüfen (?:wir )?ihren browser|wir prüfen|verbindung wird geprüft|sicherheitsprüfung|que vous (?:êtes humain|n'êtes pas un robot)|vérifions|contrôle de sécurité|que no es un robot|es humano|revisando su navegador|comprobando|control de seguridad|essere umano|sia una persona|verificando il browser|stiamo verificando|controllo di sicurezza|een mens bent|controleren je browser|controleren of|veiligheidscontrole",
-    r"^access (?:was |has been )?(?:denied|blocked|refused)|^(?:your request|this visit|access) (?:was|has been|is) (?:denied|blocked|refused)|permission to view|^zugriff verweigert|^ihre? (?:zugriff|anfrage|besuch) wurde (?:blockiert|gesperrt|abgelehnt)|(?:keine|fehlt die) berechtigung|^accès (?:refusé|interdit)|les droits nécessaires|^acceso denegado|no tiene permiso|^accesso negato|non hai i permessi|^toegang geweigerd|geen rechten|^too many requests|^slow down and|^votre (?:demande|visite|requête)|^su (?:solicitud|visita|petición)|^la tua richiesta|^je (?:verzoek|bezoek)|^il tuo accesso|^l'accès a été|^demasiadas|^trop de|^zu viele|^troppe|^te veel",
-    r"session has expired|sitzung ist abgelaufen|session a expiré|sesión ha caducado|sessione è scaduta|sessie is verlopen|not available in your (?:region|country)|in ihrem land nicht verfügbar|dans votre pays|en su país|nel tuo paese|in jouw land",
-    r"^(?:sorry|oops|uh-oh|oh no|hoppla|oh je|entschuldigung|oups|mince|désolé|vaya|ups|lo sentimos|ops|ci dispiace|oeps|helaas)\b.*\b(?:page|story|link|article|artikel|seite|site|lien|page|enlace|página|artículo|articolo|pagina|schiefgegangen|wrong|mal tourné|fallado|andato storto|mis|looking for|load)",
-    r"^(?:this|the) (?:page|story|article|resource|document|link|address)\b.*\b(?:no longer|not exist|not be found|was deleted|has expired|has moved|been mistyped|does not exist)|^we couldn't find|something went wrong|^(?:die|der|das) (?:angeforderte )?(?:seite|artikel|dokument|link)\b.*\b(?:existiert|gelöscht|nicht gefunden|nicht geladen|kaputt|verschoben|abgelaufen|nicht mehr)|^diese seite gibt es nicht|ein fehler aufgetreten|etwas schiefgegangen|^(?:cette|la) page (?:n'existe|demandée)|(?:le lien est cassé|l'article a été déplacé|une erreur est survenue|quelque chose a mal tourné)|ya no existe|el enlace está roto|artículo se ha movido|se ha producido un error|algo ha fallado|non esiste più|il link è rotto|articolo è stato spostato|si è verificato un errore|qualcosa è andato storto|bestaat niet meer|de link werkt niet|artikel is verplaatst|er ging iets mis|(?:página|pagina|page) (?:no encontrada|non trovata|introuvable|niet gevonden|not found)|nicht gefunden$",
-    r"under maintenance|down for maintenance|scheduled maintenance|^back soon\b|wartungsarbeiten|geplante wartung|gleich zurück|maintenance en cours|nous revenons vite|en mantenimiento|volvemos pronto|manutenzione in corso|torniamo presto|^onderhoud\b|zo terug:|temporarily un(?:able|available)|zurzeit nicht erreichbar|momentanément indisponible|no está disponible en este momento|momentaneamente non|tijdelijk niet bereikbaar|did not answer in time|will not load|does not support a feature|wird nicht unterstützt|no es compatible|n'est pas pris en charge|non è supportato|wordt niet ondersteund",
-    r"^loading\b.{0,12}$|^loading article|while the content loads|wird geladen|^chargement|^cargando|^caricamento|wordt geladen|^gleich geht es weiter|^almost there|^hold on\b|^one moment\b|^einen moment|^un instant|^un momento:|^een ogenblik",
-)]
-_FILLER = [re.compile(p, re.I) for p in (
-    r"^\W*lorem ipsum|^\W*dolor sit amet", r"(?:sample text ?){2,}|^sample text$|(?:\btest\b ?){3,}|^(?:asdf|qwer)", r"^todo\b|^fixme\b|^tbd$",
-    r"^(?:your|add|insert|replace|enter) (?:a |this |your )?(?:headline|title|description|text|block|lead|copy)|placeholder text|headline goes here|^hier steht ein|blindtext|beispieltext|testo segnaposto|texte? provisoire|texte d'exemple|texto de (?:relleno|ejemplo|muestra)|voorbeeldtekst|testo di (?:esempio|prova)|de vervanging|hier komt de",
-)]
-#: Endings of mock Latin, the usual filler; a sentence of it has no function word of any language.
-_LATIN = re.compile(r"(?:us|um|is|it|am|et|or|ur|a|em|at|unt|ent|iet|amet)\Z")
-#: Sentences that go with notices and are no content of their own.
-_NEUTRAL = re.compile(
-    r"^\W*(?:please )?(?:try again|reload|use the search|update it|switch it on|retry|go back|contact)\b|^(?:bitte )?versuchen sie|^zurück zur|^nutzen sie|^bitte ändern|^dazu muss|^ohne sie|^(?:merci de )?réessayez|^merci de réessayer|^retour à|^vuelva|^volver|^inténtelo|^riprova|^torna all|^probeer|^terug naar"
-    r"|^(?:error id|ref(?:erence|\.)?|kennung|vorgang|(?:code|código|codice)(?: ?:)? ?(?=[0-9a-f]{4,})|kenmerk|réf\.?|rif\.?|incident|ray)\b.{0,30}$|^(?:sorry|oops|uh-oh|oh no|hoppla|oh je|entschuldigung|oups|mince|désolé|vaya|ups|lo sentimos|ops|ci dispiace|oeps|helaas)\W*$|^\W*[0-9a-f-]{6,}\W*$|^(?:our|unser|notre|nuestro|il nostro|ons) (?:team|équipe|equipo)\b|^if this takes long|^this takes a few|^in ref\b|^we noticed that …|^you must turn on …", re.I)
-_REPORT = re.compile(
-    r"\b[A-Z]\. [A-ZÀ-Ý][a-zà-ÿ]{3,}|\b(?:said|told|admitted|confirmed|sagte|räumte|erklärte|dijo|explicó|admitió|reconoció|a dit|a admis|a reconnu|a expliqué|ha detto|ha ammesso|ha spiegato|zei|vertelde|gaf toe|argues|appealed)\b")
-_MOVING = re.compile(r"(?:[\w-]+\.)+(?:[a-z]{2,})(?:/\S*)?|\b[0-9a-f]{4,}-[0-9a-f-]{4,}\b|\d+(?:[.,:\s ]\d+)*")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def slots(text: str) -> int:
-    """Unfilled slots of a text, those shown in a short quotation left out."""
-    if not any(c in text for c in "{}[]<>%#@«_X") and "undefined" not in text and "xxx" not in text:
-        return 0
-    found = [m.span() for m in _SLOTS.finditer(text)]
-    loose = []
-    for m in _LOOSE.finditer(text):
-        name = (m[1] or m[2] or m[3] or "object").lower()
-        if m[1] and name in _TAGS:
-            continue
-        loose.append((m.span(), name in FIELDS or "_" in name or "." in name))
-    if found or len(loose) > 1:
-        found += [s for s, _ in loose]
-    else:
-        found += [s for s, telling in loose if telling]
-    if not found:
-        return 0
-    shown = [m.span(1) for m in _QUOTED.finditer(text) if len(m[1].split()) <= 4]
-    return sum(not any(a <= s and e <= b for a, b in shown if (a, b) != (s, e) and b - a > e - s + 2) for s, e in found)
-
-
-#: Letters that every notice or filler holds one of; texts without any are passed over at the speed of one scan.
-_CUES = (
-    "script|skript|js|active content|aktive inhalt|contenus actif|contenu actif|contenido activo|contenuti attiv|contenuto attiv|actieve inhoud"
-    "|http|error|erreur|errore|fehler|fout|status|statut|estado|stato|code|codice|código|codigo|sqlstate|traceback|stack trace|exception|fatal|uncaught|warning:|failed to open"
-    "|cannot read|segmentation fault|query failed|rendering failed|database|gateway|noscript|human|robot|no bot|als mensch|ein mensch|checking|verifying|security check|browser|verbindung wird"
-    "|sicherheitsprüf|humain|vérifions|contrôle de|humano|navegador|comprobando|control de|umano|una persona|verificando|controllo di|een mens|controleren|veiligheidscont"
-    "|access|zugriff|your request|this visit|permission|anfrage|ihr besuch|besuch wurde|berechtigung|accès|droits|acceso|permiso|accesso|permessi|toegang|rechten|too many|slow down|votre demande|votre visite"
-    "|votre requête|su solicitud|su visita|su petición|la tua richiesta|je verzoek|je bezoek|demasiadas|trop de|zu viele|troppe|te veel|session|sitzung|sesión|sessie|not available"
-    "|nicht verfügbar|votre pays|su país|tuo paese|jouw land|sorry|oops|uh-oh|oh no|hoppla|oh je|entschuldigung|oups|mince|désolé|vaya|ups|lo sentimos|ops|ci dispiace|oeps|helaas"
-    "|no longer|not exist|not be found|was deleted|has expired|has moved|mistyped|couldn't find|went wrong|existiert|gelöscht|nicht gefunden|nicht geladen|kaputt|verschoben|abgelaufen|nicht mehr"
-    "|schiefgegangen|n'existe|demandée|est cassé|été déplacé|mal tourné|ya no existe|está roto|ha movido|algo ha fallado|non esiste|è rotto|è stato spostato|andato storto|bestaat niet|werkt niet"
-    "|is verplaatst|iets mis|no encontrada|non trovata|introuvable|niet gevonden|not found|maintenance|back soon|wartung|gleich zurück|revenons|mantenimiento|volvemos|manutenzione|torniamo"
-    "|onderhoud|zo terug|temporarily|zurzeit|momentanément|en este momento|momentaneamente|tijdelijk|answer in time|will not load|does not support|wird nicht|no es compatible|pris en charge"
-    "|supportato|ondersteund|loading|content loads|geladen|chargement|cargando|caricamento|gleich geht|almost there|hold on|one moment|einen moment|un instant|un momento|een ogenblik"
-    "|lorem|dolor sit|sample text|test test|asdf|qwer|todo|fixme|tbd|headline goes here|wir prüfen|diese seite gibt es nicht|placeholder|hier steht|blindtext|beispieltext"
-    "|segnaposto|provisoire|d'exemple|de relleno|de ejemplo|de muestra|voorbeeldtekst|di esempio|di prova|vervanging|hier komt"
-).split("|") + [
-    *(f"{verb} {of}{what}" for verb in ("your", "add", "insert", "replace", "enter") for of in ("", "a ", "this ", "your ") for what in ("headline", "title", "description", "text", "block", "lead", "copy")),
-    *(f"{you} {no}{a}bot" for you in ("you are", "you're") for no in ("", "not ") for a in ("", "a ")),
-]
-
-
-@functools.cache
-def _automaton():
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for cue in _CUES:
-        found.add_word(cue, cue)
-    found.make_automaton()
-    return found
-
-
-def has_cue(text: str) -> bool:
-    return next(_automaton().iter(f" {text.lower()} "), None) is not None
-
-
-def mock_latin(words: list[str], function_words: frozenset[str]) -> bool:
-    """Six words or more without a function word, most of them with Latin endings, and hardly a capital."""
-    if len(words) < 6 or not function_words.isdisjoint(map(str.lower, words)):
-        return False
-    bare = [w.strip(",.;:!?…") for w in words]
-    return sum(bool(_LATIN.search(w.lower())) for w in bare) >= 0.6 * len(words) and sum(w[:1].isupper() for w in bare) <= max(2, len(words) // 8)
-
-
-_NUMBERED = re.compile(r"(?:^|[.!?…]\s|\n)\W*[45]\d\d ?[-–:]")
-
-
-def may_hold_notice(text: str, function_words: frozenset[str]) -> bool:
-    """False only where no sentence can be a notice or filler."""
-    return has_cue(text) or _NUMBERED.search(text) is not None or any(mock_latin(line.split(), function_words) for line in text.split("\n"))
-
-
-def skeleton(sentence: str) -> str:
-    return _MOVING.sub("\0", _SLOTS.sub("\0", sentence)).lower()
-
-
-def kind_of(sentence: str, function_words: frozenset[str], after_filler: bool) -> str:
-    """notice, filler, neutral, doubtful or text."""
-    if any(p.search(sentence) for p in _FILLER):
-        return "text" if _REPORT.search(sentence) else "filler"
-    words = _WORDS.findall(sentence.lower())
-    if not words:
-        return "neutral"
-    if after_filler and function_words.isdisjoint(words) or mock_latin(sentence.split(), function_words):
-        return "filler"
-    if _NEUTRAL.search(sentence):
-        return "neutral"
-    if _REPORT.search(sentence):
-        return "text"
-    if any(p.search(sentence) for p in _NOTICES):
-        return "notice"
-    if len(sentence) < 20 and sentence[-1] == "…":
-        return "neutral"
-    return "doubtful" if len(words) <= 12 and "browser" in sentence.lower() + " " or len(words) <= 6 and re.search(r"\b(?:server|request|reload|firewall|expired|unavailable)\b", sentence, re.I) else "text"
-
-
-def read_lines(lines: list[str], function_words: frozenset[str]) -> list[tuple[str, int, int]]:
-    """(kind, words, hash of the skeleton) of every sentence."""
-    out, after = [], False
-    for line in lines:
-        for sentence in _SENTENCE.split(line.strip()):
-            if not sentence:
+_TRIM = ".,;:!?…\"“”„‘’'()¿¡–—-"
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NAME = re.compile(r"[^\W\d_]+(?:[._]+[^\W\d_]+)*")
+#: Marks that stand in prose without making a unit of their own.
+_PLAIN_MARKS = frozenset(".,;:!?…\"“”„‘’'()¿¡–—-/&*+~`|•·©%€$£#")
+#: Fill characters of blanks, and the words of programming languages for a value that isn't set.
+_BLANK = re.compile(r"([Xx_?])\1{2,}")
+_UNSET = frozenset({"undefined", "NaN"})
+BLANK_JOIN = ""
+
+
+def form_of(core: str) -> str | None:
+    """The form of a unit in marks, or of a blank; none of any other token. Letters of a name are w, digits 0."""
+    if _BLANK.fullmatch(core):
+        return core[0] + "+"
+    if core in _UNSET:
+        return core
+    printf = core.startswith("%(") and core[-2:-1] == ")"
+    if len(core) > 80 or core[0].isalnum() or not printf and core[-1].isalnum() or not any(c.isalpha() for c in core):
+        return None
+    if core[0] in _PLAIN_MARKS and not printf and not (core[0] in "#%$" and core[-1] in "#%})"):
+        return None
+    return re.sub(r"\d+", "0", _NAME.sub("w", core)).replace(BLANK_JOIN, " ")
+
+
+class Token(NamedTuple):
+    kind: str  # word, name, slot, form, or nothing for marks
+    digest: bytes
+    core: str
+    form: str | None
+    words: int
+    strange: int
+    ends: bool
+
+
+class Sentence(NamedTuple):
+    skeleton: int
+    words: int
+    fixed: int
+    strange: int
+    names: list[str]
+    forms: list[tuple[int, str, str]]
+    filled: bool
+
+
+class SentenceReader:
+    """Reads texts as sentences, with the words of ``prose`` as what isn't strange. Tokens are looked up in a bounded memo."""
+
+    def __init__(self, prose: frozenset[str]):
+        self.prose = prose
+        self.memo: dict[str, Token] = {}
+
+    def _token(self, token: str) -> Token:
+        core = token.strip(_TRIM)
+        ends = bool(_SENTENCE_END.search(token))
+        if "%(" in token or "(" in core and ")" in token:
+            core = token.strip(".,;:!?…\"“”„‘’'")
+        low = core.lower()
+        if not core:
+            form = form_of(token) if _BLANK.fullmatch(token) else None
+            got = Token("form" if form else "", b"", token, form, 0, 0, ends)
+        elif form := form_of(core):
+            got = Token("form", b"", core, form, 0, 0, ends)
+        elif _WORD.fullmatch(core):
+            parts = _LETTERS.findall(low)
+            kind = "name" if core[0].isupper() else "word"
+            got = Token(kind, xxhash.xxh3_64_digest(low), core, None, len(parts), sum(p not in self.prose for p in parts), ends)
+        elif any(c.isdigit() for c in core) or any(c in core[1:-1] for c in "./@\\=_:") or not any(c.isalpha() for c in core):
+            got = Token("slot" if any(c.isalnum() for c in core) else "", b"", core, None, 0, 0, ends)
+        else:
+            parts = _LETTERS.findall(low)
+            got = Token("word", xxhash.xxh3_64_digest(low), core, None, len(parts), sum(p not in self.prose for p in parts), ends)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.memo[token] = got
+        return got
+
+    def line(self, line: str) -> Iterator[Sentence]:
+        if BLANK_JOIN not in line and any(c in line for c in "{[<"):
+            line = _BRACKETS.sub(lambda m: BLANK_JOIN.join(m[0].split()), line)
+        memo, make = self.memo, self._token
+        part: list[Token] = []
+        for token in line.split():
+            got = memo.get(token) or make(token)
+            part.append(got)
+            if got.ends and (got.kind != "name" or len(got.core) > 1):  # an initial ends no sentence
+                yield self._sentence(part)
+                part = []
+        if part:
+            yield self._sentence(part)
+
+    @staticmethod
+    def _sentence(part: list[Token]) -> Sentence:
+        keys: list[bytes] = []
+        names: list[str] = []
+        forms: list[tuple[int, str, str]] = []
+        fixed = strange = slots = 0
+        in_slot = in_name = filled = False
+        for i, t in enumerate(part):
+            kind = t.kind
+            if not kind:
                 continue
-            plain = not after and not has_cue(sentence) and not _NUMBERED.match(sentence) and not _NEUTRAL.search(sentence) and not mock_latin(sentence.split(), function_words)
-            kind = "text" if plain else kind_of(sentence, function_words, after)
-            after = kind == "filler"
-            out.append((kind, len(sentence.split()), xxhash.xxh3_64_intdigest(skeleton(sentence)) - (1 << 63) if kind == "doubtful" else 0))
-        after = after and line != ""
-    return out
-
-
-OUT = "src string, row_id bigint, n_slots int, notice_words int, text_words int, doubtful array<struct<skeleton bigint, words int>>"
-_DOUBTFUL = pa.list_(pa.struct([("skeleton", pa.int64()), ("words", pa.int32())]))
+            if kind == "word" or kind == "name" and not i and not t.strange:
+                keys.append(t.digest)
+                fixed += t.words
+                strange += t.strange
+                in_slot = in_name = False
+                continue
+            if not in_slot:
+                keys.append(b"\0")
+                slots += 1
+            in_slot = True
+            if kind == "name":
+                filled = True
+                if in_name:
+                    names[-1] += " " + t.core
+                else:
+                    names.append(t.core)
+            elif kind == "form":
+                forms.append((slots, t.form, t.core))
+            else:
+                filled = True
+            in_name = kind == "name"
+        return Sentence(xxhash.xxh3_64_intdigest(b"".join(keys)) - (1 << 63), len(part), fixed, strange, names, forms, filled and not forms)
+
+    def record(self, lines: list[str]) -> tuple:
+        """The columns of ``SIGNS``: words of plain sentences, strange sentences, forms, skeletons of filled sentences."""
+        plain, odd, forms, filled = 0, [], [], set()
+        shown: list[str] | None = None
+        for line in lines:
+            for s in self.line(line):
+                if s.strange and s.strange + len(s.names) >= ALIGN_FROM * (s.fixed + len(s.names)):
+                    odd.append({
+                        "skeleton": s.skeleton, "words": s.words, "fixed": s.fixed, "strange": s.strange,
+                        "names": [{"value": xxhash.xxh3_64_intdigest(v) - (1 << 63), "words": len(_LETTERS.findall(v)), "strange": sum(w not in self.prose for w in _LETTERS.findall(v.lower()))} for v in s.names],
+                    })
+                elif s.words >= NEUTRAL_WORDS:
+                    plain += s.words
+                if s.forms:
+                    if shown is None:
+                        shown = [m[1] for x in lines for m in _QUOTED.finditer(x) if len(m[1].split()) <= 4]
+                    for pos, form, core in s.forms:
+                        bare = core.replace(BLANK_JOIN, " ")
+                        if not any(bare in q and len(q) > len(bare) + 2 for q in shown):
+                            forms.append({"skeleton": s.skeleton, "slot": pos, "form": form, "anchored": s.fixed >= FIXED_WORDS})
+                elif s.filled and s.fixed >= FIXED_WORDS:
+                    filled.add(s.skeleton)
+        return plain, odd, forms, list(filled)
+
+
+_NAMES = pa.list_(pa.struct([("value", pa.int64()), ("words", pa.int32()), ("strange", pa.int32())]))
+_ODD = pa.list_(pa.struct([("skeleton", pa.int64()), ("words", pa.int32()), ("fixed", pa.int32()), ("strange", pa.int32()), ("names", _NAMES)]))
+_FORMS = pa.list_(pa.struct([("skeleton", pa.int64()), ("slot", pa.int32()), ("form", pa.string()), ("anchored", pa.bool_())]))
+SIGNS = {"plain_words": pa.int32(), "odd": _ODD, "forms": _FORMS, "filled": pa.list_(pa.int64())}
+OUT = (
+    "src string, row_id bigint, address bigint, plain_words int,"
+    " odd array<struct<skeleton bigint, words int, fixed int, strange int, names array<struct<value bigint, words int, strange int>>>>,"
+    " forms array<struct<skeleton bigint, slot int, form string, anchored boolean>>, filled array<bigint>"
+)
 
 
-def _batch(src: str, ids, rows: list[tuple[int, int, int, list[dict]]]) -> pa.RecordBatch:
+def _batch(src: str, ids, addresses, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([src] * len(rows), pa.string()), ids.cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int32()) for k in range(3)), pa.array([r[3] for r in rows], _DOUBTFUL)],
-        ["src", "row_id", "n_slots", "notice_words", "text_words", "doubtful"],
-    )
+        [pa.array([src] * len(rows), pa.string()), ids.cast(pa.int64()), addresses, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(SIGNS.values()))],
+        ["src", "row_id", "address", *SIGNS])
 
 
-def read_record(text: str, function_words: frozenset[str]) -> tuple[int, int, int, list[dict]]:
-    if not may_hold_notice(text, function_words):
-        return slots(text), 0, len(text.split()), []
-    return weigh(read_lines(text.split("\n"), function_words), slots(text))
+def prose_words(texts: DataFrame, text_col: str = "text", most: int = PROSE_WORDS, least: int = PROSE_LEAST) -> frozenset[str]:
+    """The words of prose: of all texts, counted before they move, those that occur ``least`` times; the ``most`` frequent."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return frozenset(r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
 
 
-def weigh(sentences: list[tuple[str, int, int]], n_slots: int) -> tuple[int, int, int, list[dict]]:
-    notice = sum(n for k, n, _ in sentences if k in ("notice", "filler"))
-    text = sum(n for k, n, _ in sentences if k in ("text", "doubtful"))
-    return n_slots, notice, text, [{"skeleton": h, "words": n} for k, n, h in sentences if k == "doubtful"]
+def _address(df: DataFrame, url_col: str | None, key: str):
+    """Addresses as hashes, without scheme, query and marks; a record without one is an address of its own."""
+    own = F.xxhash64(F.lit("row"), F.col(key))
+    if url_col is None or url_col not in df.columns:
+        return own
+    bare = F.regexp_replace(F.lower(F.col(url_col)), r"^https?://(www\.)?|[?#].*$|/+$", "")
+    return F.when(F.length(F.trim(bare)) > 0, F.xxhash64(bare)).otherwise(own)
 
 
-def snippet_signs(hits: DataFrame, function_words: frozenset[str], hit_id: str = "hit_id", snippet_col: str = "snippet") -> DataFrame:
-    source = hits.select(F.col(hit_id).alias("row_id"), F.col(snippet_col).alias("text")).filter(F.length("text") > 0)
+def snippet_signs(hits: DataFrame, prose: frozenset[str], hit_id: str = "hit_id", snippet_col: str = "snippet", url_col: str | None = "url") -> DataFrame:
+    source = hits.select(F.col(hit_id).alias("row_id"), _address(hits, url_col, hit_id).alias("address"), F.col(snippet_col).alias("text")).filter(F.length("text") > 0)
+    shared = hits.sparkSession.sparkContext.broadcast(prose)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = SentenceReader(shared.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield _batch("hit", batch.column("row_id"), [read_record(t, function_words) for t in texts])
+            yield _batch("hit", batch.column("row_id"), batch.column("address"), [reader.record(t.split("\n")) for t in texts])
 
     return source.mapInArrow(run, OUT)
 
 
-PAGE_OUT = f"{OUT}, text_lines array<int>, markdown_lines array<int>"
+PAGE_OUT = f"{OUT}, blank boolean, text_lines array<int>, markdown_lines array<int>"
 LANGUAGE_OUT = "page_lang string, page_sure double, foreign array<struct<line_no int, lang string, sure double>>"
 _FOREIGN = pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string()), ("sure", pa.float64())]))
 
 
 def page_signs(
-    pages: DataFrame, function_words: frozenset[str], code: LanguageCode | None = None, page_id: str = "page_id", markdown_col: str = "markdown",
-    text_col: str = "text", keep: tuple[str, ...] = (), foreign_words: int = 8,
+    pages: DataFrame, prose: frozenset[str], code: LanguageCode | None = None, page_id: str = "page_id", markdown_col: str = "markdown",
+    text_col: str = "text", url_col: str | None = "url", keep: tuple[str, ...] = (), foreign_words: int = 8,
 ) -> DataFrame:
-    """Signs of residue and, from the same reading, the furniture's line numbers (from 1) in both fields.
+    """Signs of residue in what the block labeller keeps as the article and, from the same reading, the furniture's line
+    numbers (from 1) in both fields.
 
-    What the block labeller keeps as the article is the page's text; notices are looked for in all lines. With ``code``
-    also the language of most of the article and its lines of ``foreign_words`` words or more in another one. Columns
-    named in ``keep`` pass through.
+    With ``code`` also the language of most of the article and its lines of ``foreign_words`` words or more in another one.
+    Columns named in ``keep`` pass through.
     """
-    source = pages.select(F.col(page_id).alias("row_id"), F.col(markdown_col).alias("markdown"), F.col(text_col).alias("text"), *keep)
-    shared = pages.sparkSession.sparkContext.broadcast(code) if code else None
+    source = pages.select(
+        F.col(page_id).alias("row_id"), _address(pages, url_col, page_id).alias("address"), F.col(markdown_col).alias("markdown"), F.col(text_col).alias("text"), *keep)
+    shared = pages.sparkSession.sparkContext.broadcast((prose, code))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, reader = BlockLabeller.shipped(), Reader()
-        detector = Detector(shared.value) if shared else None
+        words, known = shared.value
+        sentences, detector = SentenceReader(words), Detector(known) if known else None
         for big in batches:
             for begin in range(0, big.num_rows, 512):
                 batch = big.slice(begin, 512)
                 texts = batch.column("text").to_pylist()
                 marked, plain = label_batch(model, reader, batch.column("markdown").to_pylist(), texts)
-                signs = _batch("page", batch.column("row_id"), [page_weight(t or "", rows, function_words) for t, rows in zip(texts, plain)])
-                columns = [*signs.columns, *(pa.array([[n + 1 for n, p in rows if p > 0.5] for rows in part], pa.list_(pa.int32())) for part in (plain, marked))]
-                names = [*signs.schema.names, "text_lines", "markdown_lines"]
+                signs = _batch("page", batch.column("row_id"), batch.column("address"), [sentences.record(_article(t or "", rows)) for t, rows in zip(texts, plain)])
+                blank = pa.array([not t or t.isspace() for t in texts], pa.bool_())
+                columns = [*signs.columns, blank, *(pa.array([[n + 1 for n, p in rows if p > 0.5] for rows in part], pa.list_(pa.int32())) for part in (plain, marked))]
+                names = [*signs.schema.names, "blank", "text_lines", "markdown_lines"]
                 if detector:
                     columns += _languages(texts, plain, detector, foreign_words)
                     names += ["page_lang", "page_sure", "foreign"]
@@ -271,6 +290,11 @@ def page_signs(
     return source.mapInArrow(run, PAGE_OUT + (f", {LANGUAGE_OUT}" if code else "") + kept)
 
 
+def _article(text: str, rows: list[tuple[int, float]]) -> list[str]:
+    lines = text.split("\n")
+    return [lines[n] for n, p in rows if p <= 0.5]
+
+
 def _languages(texts: list[str | None], plain: list, detector: Detector, foreign_words: int) -> list[pa.Array]:
     """Languages of a batch of pages: all their article lines are decided at once."""
     numbers, lines, pages = [], [], []
@@ -299,29 +323,52 @@ def _languages(texts: list[str | None], plain: list, detector: Detector, foreign
     return [pa.array(own, pa.string()), pa.array(share, pa.float64()), pa.array(foreign, _FOREIGN)]
 
 
-def page_weight(text: str, rows: list[tuple[int, float]], function_words: frozenset[str]) -> tuple[int, int, int, list[dict]]:
-    lines = text.split("\n")
-    article = [lines[n] for n, p in rows if p <= 0.5]
-    rest = [lines[n] for n, p in rows if p > 0.5]
-    n_slots, notice, kept, doubtful = read_record("\n".join(article), function_words)
-    if kept < 40:  # furniture can only matter where little of an article is left
-        more = read_record("\n".join(rest), function_words)
-        notice, n_slots = notice + more[1], n_slots or more[0]
-    return n_slots, notice, kept, doubtful
-
-
-def find_residue(signs: DataFrame, recurs: int = 3, page_words: int = 15) -> DataFrame:
-    """(src, row_id) of the cases. Only doubtful sentences are shuffled, as hashes that are counted before they move.
+def unfilled(signs: DataFrame) -> DataFrame:
+    """(src, row_id) of records that hold a form of a variable, default or blank, as induced from all records.
+
+    Only skeletons that some form stands in are looked up among the filled ones, which are distinct before they move."""
+    forms = signs.filter(F.size("forms") > 0).select("src", "row_id", F.inline("forms"))
+    places = forms.filter("anchored").select("src", "skeleton", "slot", "form").distinct()
+    filled = signs.select("src", F.explode("filled").alias("skeleton")).distinct().withColumn("twin", F.lit(1))
+    aligned = places.join(filled, ["src", "skeleton"], "left")
+    share = F.count("twin") / F.count("*")
+    induced = aligned.groupBy("src", "form").agg(F.count("twin").alias("aligned"), share.alias("share")).filter((F.col("aligned") >= ALIGNED) & (F.col("share") >= ALIGNED_SHARE))
+    return forms.join(induced.select("src", "form"), ["src", "form"], "left_semi").select("src", "row_id").distinct()
+
+
+def notices(signs: DataFrame) -> DataFrame:
+    """(src, row_id, notice_words, text_words) of records with strange sentences, after these are aligned with each other.
+
+    What moves are hashes of strange sentences and of the names in them, counted before they move."""
+    key = ["src", "row_id", "n"]
+    odd = signs.filter(F.size("odd") > 0).select("src", "row_id", "address", F.posexplode("odd").alias("n", "s")).select(*key, "address", "s.*")
+    named = odd.select(*key, "address", "skeleton", F.posexplode("names").alias("slot", "v")).select(*key, "address", "skeleton", "slot", "v.*")
+    value_at = named.groupBy("src", "skeleton", "slot", "value", "address").agg(F.lit(1).alias("one")).groupBy("src", "skeleton", "slot", "value").agg(F.count("*").alias("at"))
+    slot = value_at.groupBy("src", "skeleton", "slot").agg(F.count("*").alias("values"), F.sum("at").alias("at"))
+    varied = slot.filter((F.col("values") >= VARIES) & (F.col("values") > VARIES_SHARE * F.col("at"))).select("src", "skeleton").distinct().withColumn("varied", F.lit(True))
+    recurring = slot.filter(F.col("at") >= 2).select("src", "skeleton").distinct().join(varied, ["src", "skeleton"], "left_anti")
+    repeated = value_at.join(recurring, ["src", "skeleton"], "left_semi").groupBy("src", "value").agg(F.sum("at").alias("at")).filter(F.col("at") >= RECURS).select("src", "value", F.lit(True).alias("repeated"))
+    of_names = named.join(repeated, ["src", "value"], "left").groupBy(*key).agg(
+        F.count_if(F.col("repeated").isNull()).alias("unknown"),
+        F.coalesce(F.sum(F.when(F.col("repeated"), F.col("words"))), F.lit(0)).alias("name_words"),
+        F.coalesce(F.sum(F.when(F.col("repeated"), F.col("strange"))), F.lit(0)).alias("name_strange"))
+    read = odd.drop("names", "address").join(varied, ["src", "skeleton"], "left").join(of_names, key, "left").fillna(0, ["unknown", "name_words", "name_strange"])
+    fixed, strange = F.col("fixed") + F.col("name_words"), F.col("strange") + F.col("name_strange")
+    report = F.col("varied").isNotNull() | (F.col("unknown") >= 2)
+    notice = ~report & (strange >= STRANGE * fixed) & (strange > 0)
+    text = report | (~notice & (F.col("words") >= NEUTRAL_WORDS))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("words"))), F.lit(0))
+    return read.groupBy("src", "row_id").agg(total(notice).alias("notice_words"), total(text).alias("text_words"))
+
+
+def find_residue(signs: DataFrame) -> DataFrame:
+    """(src, row_id) of the cases.
 
     ``signs`` is read several times; pass it through ``cut_lineage`` so that the texts are read once.
     """
-    # Records with doubtful sentences are few; only they are joined, by merging, so that nothing is sent to all executors.
-    open_records = signs.filter(F.size("doubtful") > 0)
-    doubtful = open_records.select("src", "row_id", F.explode("doubtful").alias("d")).select("src", "row_id", "d.skeleton", "d.words")
-    common = doubtful.groupBy("skeleton").agg(F.count("*").alias("records")).filter(F.col("records") >= recurs).select("skeleton")
-    more = doubtful.join(common.hint("merge"), "skeleton", "left_semi").groupBy("src", "row_id").agg(F.sum("words").cast("int").alias("more"))
-    joined = open_records.drop("doubtful").join(more.hint("merge"), ["src", "row_id"], "left").fillna(0, ["more"])
-    every = joined.unionByName(signs.filter(F.size("doubtful") == 0).drop("doubtful").withColumn("more", F.lit(0)))
-    notice, text = F.col("notice_words") + F.col("more"), F.col("text_words") - F.col("more")
-    little = F.when(F.col("src") == "page", (text <= page_words) | (text <= 1.2 * notice)).otherwise(text <= notice)
-    return every.filter((F.col("n_slots") > 0) | ((notice > 0) & little)).select("src", "row_id").distinct()
+    keep = ["src", "row_id", "plain_words", F.col("blank") if "blank" in signs.columns else F.lit(None).cast("boolean").alias("blank")]
+    weighed = signs.select(*keep).join(notices(signs), ["src", "row_id"], "left").fillna(0, ["notice_words", "text_words"])
+    notice, text = F.col("notice_words"), F.col("text_words") + F.col("plain_words")
+    page = ~F.coalesce("blank", F.lit(False)) & ((text <= PAGE_WORDS) | (text <= PAGE_SHARE * notice))
+    cases = weighed.filter(F.when(F.col("src") == "page", page).otherwise((notice > 0) & (text <= notice)))
+    return cases.select("src", "row_id").unionByName(unfilled(signs)).distinct()
