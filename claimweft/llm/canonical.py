@@ -2,7 +2,8 @@
 
 A BK-tree over the entries' forms under the Levenshtein distance (a true metric) gives every entry within the threshold
 of a value; the triangle inequality prunes the rest. Swapped neighbours are one slip of the keys but two edits, so the
-tree is asked for twice the allowed edits and what it gives is counted again with swaps as one. Forms are compared without regard to case, width, accents,
+tree is asked for twice the allowed edits, among forms whose length differs by no more than the allowed ones, and what it
+gives is counted again with swaps as one. Forms are compared without regard to case, width, accents,
 look-alike letters of other scripts, marks and spaces. A value is tried as typed, then without what stands around an
 entry in such fields (lead-ins before a colon, bracketed or barred additions, words of ``dressing``), and with its words
 rotated, as in "Ledger, The Example".
@@ -21,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,8 +63,9 @@ def plain(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
-def forms(text: str) -> list[tuple[str, int]]:
-    """What a value may mean, each with a cost: as typed first, then undressed."""
+def forms(text: str, longest: int = 1 << 30) -> list[tuple[str, int]]:
+    """What a value may mean, each with a cost: as typed first, then undressed. Words are rotated where the whole has up to
+    ``longest`` letters; beyond the longest entry and its edits no rotation can match."""
     whole = plain(text)
     out = {whole.replace(" ", ""): 0}
 
@@ -87,8 +90,9 @@ def forms(text: str) -> list[tuple[str, int]]:
         if ":" in variant:
             undress(plain(variant.partition(":")[2]).split())
     words = whole.split()
-    for k in range(1, min(len(words), 8)):
-        add(words[k:] + words[:k], 2)
+    if sum(map(len, words)) <= longest:
+        for k in range(1, len(words)):
+            add(words[k:] + words[:k], 2)
     return [(f, c) for f, c in out.items() if f]
 
 
@@ -129,33 +133,41 @@ def typing_distance(a: str, b: str) -> int:
 
 
 class BKTree:
-    """Nodes are (form, entries, children by distance)."""
+    """Nodes are [form, entries, children by distance, shortest and longest form of the subtree]."""
 
     def __init__(self, metric: Callable[[str, str], int] = distance):
         self.metric, self.root = metric, None
 
     def add(self, form: str, entry) -> None:
+        n = len(form)
         if self.root is None:
-            self.root = (form, {entry}, {})
+            self.root = [form, {entry}, {}, n, n]
             return
         node = self.root
         while True:
+            node[3], node[4] = min(node[3], n), max(node[4], n)
             d = self.metric(form, node[0])
             if d == 0:
                 node[1].add(entry)
                 return
             if d not in node[2]:
-                node[2][d] = (form, {entry}, {})
+                node[2][d] = [form, {entry}, {}, n, n]
                 return
             node = node[2][d]
 
-    def within(self, form: str, threshold: int) -> list[tuple[int, str, object]]:
-        """Every (distance, form, entry) with a distance of at most ``threshold``."""
+    def within(self, form: str, threshold: int, slack: int | None = None) -> list[tuple[int, str, object]]:
+        """Every (distance, form, entry) with a distance of at most ``threshold`` and lengths at most ``slack`` apart (by
+        default ``threshold``, which leaves out nothing). The triangle inequality prunes children by distance; subtrees
+        without a form of a fitting length aren't entered."""
+        slack = threshold if slack is None else slack
+        least, most = len(form) - slack, len(form) + slack
         out, stack = [], [self.root] if self.root else []
         while stack:
-            name, entries, children = stack.pop()
+            name, entries, children, low, high = stack.pop()
+            if low > most or high < least:
+                continue
             d = self.metric(form, name)
-            if d <= threshold:
+            if d <= threshold and least <= len(name) <= most:
                 out += [(d, name, e) for e in entries]
             for k in range(d - threshold, d + threshold + 1):
                 if k in children:
@@ -182,6 +194,7 @@ class Mapper:
             for code in codes:
                 if code and plain(code):
                     self.exact.setdefault(plain(code).replace(" ", ""), set()).add(ref)
+        self.longest = max(map(len, self.exact), default=0) + most
         self.memo: dict[str, tuple[int, int | None, bool, float]] = {}
 
     def best(self, value: str) -> tuple[int, int | None, bool, float]:
@@ -194,7 +207,7 @@ class Mapper:
         return got
 
     def _best(self, value: str) -> tuple[int, int | None, bool, float]:
-        tried = forms(value)
+        tried = forms(value, self.longest)
         for form, cost in tried:
             if form in self.exact:
                 refs = self.exact[form]
@@ -203,7 +216,7 @@ class Mapper:
         for form, cost in tried:
             limit = tolerance(form, self.share, self.most)
             if limit:
-                for d, name, e in self.tree.within(form, 2 * limit):
+                for d, name, e in self.tree.within(form, 2 * limit, limit):
                     d = typing_distance(form, name) if d > 1 else d
                     if d <= min(limit, tolerance(name, self.share, self.most)):
                         near.append((d + cost / 8, d, e))
@@ -234,14 +247,6 @@ def map_to_canonical(
         return F.concat(*arrays) if arrays else F.array().cast("array<string>")
 
     listed = reference.select(F.col(ref_id).cast("int").alias("ref"), texts(names).alias("names"), texts(codes).alias("codes"))
-    shards, shard = [], []
-    for row in listed.toLocalIterator():
-        shard.append((row["ref"], list(row["names"]), list(row["codes"])))
-        if len(shard) == shard_entries:
-            shards.append(shard)
-            shard = []
-    if shard or not shards:
-        shards.append(shard)
     spark = df.sparkSession
     source, kept = carried(df, value_col, [ref_col, distance_col, ambiguous_col])
     source = source.filter(F.col(VALUE).rlike(r"(?U)[^\s\x{200b}\x{feff}]"))
@@ -260,12 +265,26 @@ def map_to_canonical(
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *outputs]))
 
     names_out = [f.name for f in kept] + [ref_col, distance_col, ambiguous_col]
-    if len(shards) == 1:
-        return restored(mapped(source, shards[0]).select(*names_out), kept)
+    # The list comes to the driver shard by shard: one is held while the next is read, and each goes out before the next.
+    shards = _shards(listed, shard_entries)
+    first, second = next(shards, []), next(shards, None)
+    if second is None:
+        return restored(mapped(source, first).select(*names_out), kept)
     values = cut_lineage(source.select(VALUE).distinct())
-    found = reduce(DataFrame.unionByName, (mapped(values, s) for s in shards))
-    least = found.groupBy(VALUE).agg(
-        F.min_by(F.struct(ref_col, distance_col, ambiguous_col), F.struct("_rank", ref_col)).alias("_best"), F.sort_array(F.collect_list("_rank")).alias("_ranks"))
-    tied = F.col(f"_best.{ambiguous_col}") | (F.col(f"_best.{distance_col}").isNotNull() & (F.get("_ranks", F.lit(0)) == F.get("_ranks", F.lit(1))))
-    won = least.select(VALUE, f"_best.{ref_col}", f"_best.{distance_col}", tied.alias(ambiguous_col))
+    found = reduce(DataFrame.unionByName, (mapped(values, s) for s in chain((first, second), shards)))
+    least = found.groupBy(VALUE).agg(F.min_by(F.struct(ref_col, distance_col, ambiguous_col), F.struct("_rank", ref_col)).alias("_best"))
+    ranks = found.filter(F.col(distance_col).isNotNull()).groupBy(VALUE, "_rank").agg(F.count("*").alias("_same"))
+    tied = ranks.groupBy(VALUE).agg(F.min_by("_same", "_rank").alias("_ties"))
+    won = least.join(tied, VALUE, "left").select(VALUE, f"_best.{ref_col}", f"_best.{distance_col}", (F.col(f"_best.{ambiguous_col}") | (F.coalesce("_ties", F.lit(0)) > 1)).alias(ambiguous_col))
     return restored(source.join(won, VALUE).select(*names_out), kept)
+
+
+def _shards(listed: DataFrame, size: int) -> Iterator[list[tuple]]:
+    shard: list[tuple] = []
+    for row in listed.toLocalIterator():
+        shard.append((row["ref"], list(row["names"]), list(row["codes"])))
+        if len(shard) == size:
+            yield shard
+            shard = []
+    if shard:
+        yield shard
