@@ -185,23 +185,15 @@ def find_leaks(
     """One row (doc_id, item_id, n_words, n_edits) per document and item whose passage it holds.
 
     A passage of n words with e edits keeps at least n - 3 - 4e seeds, so 20 words with two edits keep nine.
-    ``items`` is read to the driver block by block, ``block_words`` words at most in each; every block takes one pass
-    over the documents, so that memory stays bounded however many items there are.
+    ``items`` is read to the driver block by block, ``block_words`` words at most in each; a block is packed into its
+    broadcast and let go before the next is read. Every block takes one pass over the documents, and is unpacked by the
+    tasks of its own pass alone.
     """
-    blocks, block, size = [], [], 0
-    for row in items.select(item_id, item_text).toLocalIterator():
-        n = len((row[1] or "").split())
-        if block and size + n > block_words:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
-    blocks.append(block)
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") >= 2 * min_words - 1)
     id_types = dict(docs.select(doc_id).dtypes)[doc_id], dict(items.select(item_id).dtypes)[item_id]
     found = None
-    for rows in blocks:
+    for rows in _blocks(items.select(item_id, item_text), block_words):
         shared = spark.sparkContext.broadcast(Items.build(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -233,3 +225,17 @@ def find_leaks(
         part = source.mapInArrow(run, f"doc_id {id_types[0]}, item_id {'bigint' if item_arrow == pa.int64() else 'string'}, n_words int, n_edits int")
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple]]:
+    """Items in blocks of a bounded number of words; one block is held at a time. No items are one empty block."""
+    block, size, any_block = [], 0, False
+    for row in items.toLocalIterator():
+        n = len((row[1] or "").split())
+        if block and size + n > block_words:
+            yield block
+            block, size, any_block = [], 0, True
+        block.append((row[0], row[1]))
+        size += n
+    if block or not any_block:
+        yield block
