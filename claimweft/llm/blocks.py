@@ -17,6 +17,7 @@ import math
 import pkgutil
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,18 +246,19 @@ class BlockLabeller:
 def handed_down(markdown: str, at: list[int], furniture: np.ndarray, text: str) -> list[tuple[int, float | None]]:
     """For each line of the text that isn't blank, its number and the label of the leaf it came from, or none."""
     lines = markdown.split("\n")
-    leaves = [" ".join(plain_line(lines[i]).split()) for i in at]
+    places: dict[str, list[int]] = {}
+    for k, i in enumerate(at):
+        places.setdefault(" ".join(plain_line(lines[i]).split()), []).append(k)
     out, j = [], 0
     for number, line in enumerate(text.split("\n")):
         if not line or line.isspace():
             continue
         want = " ".join(line.replace("*", "").replace("_", "").replace("~", "").replace("`", "").split())
-        k = j
-        while k < len(leaves) and leaves[k] != want:
-            k += 1
-        if k < len(leaves):
-            out.append((number, float(furniture[k])))
-            j = k + 1
+        own = places.get(want, ())
+        n = bisect_left(own, j) if own else 0
+        if n < len(own):
+            out.append((number, float(furniture[own[n]])))
+            j = own[n] + 1
         else:
             out.append((number, None))
     return out

@@ -7,6 +7,7 @@ whole; extra columns pass through, and one with an output's name gives way to it
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -38,6 +39,9 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        cut = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        if self.tokenizer.normalizer is not None or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path}: texts of this vocabulary aren't cut by the byte-level pattern")
         self.memo: dict[str, list[int]] = {}
         # Fixed value: the published split pattern of this vocabulary family.
         self.split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
@@ -117,7 +121,7 @@ def encode_documents(
 ) -> DataFrame:
     """``df`` plus ``out_col`` array<int>; with offsets also ``offsets_col`` array<struct<start,end>> in code points.
 
-    One narrow Arrow stage, no shuffle: ids are written straight into list arrays, so no row becomes a Python object.
+    One narrow Arrow stage, no shuffle; a batch of texts is held as Python strings and lists of ids while it is encoded.
     """
     path = _path(vocabulary, tokenizer_dir)
     span = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)])

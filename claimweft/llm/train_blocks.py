@@ -21,7 +21,6 @@ def main(pages: str, claims: str, samples: str, rows: str = "4000", out: str | N
     rows, out = int(rows), out or str(Path(__file__).with_name("blocks.npz"))
     table = pq.read_table(pages, columns=["url", "markdown", "text"]).to_pylist()
     known = [t for t in pq.read_table(claims, columns=["text"]).column("text").to_pylist() if t]
-    known = known[:40_000]
     code = LanguageCode.fit([(r["lang"], r["text"]) for r in pq.read_table(samples).to_pylist()])
     weak = WeakLabeller([(r["url"], r["markdown"] or "") for r in table], known, [lang if sure >= 0.5 else None for lang, sure, _ in Detector(code).texts(known)])
     chosen = np.random.default_rng(11).permutation(len(table))[:2 * rows]

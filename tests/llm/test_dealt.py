@@ -49,6 +49,11 @@ def test_split_characters_are_joined_again():
     assert "�" in decoder.decode(ids[1:2])
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        tokenize.PieceEncoder(f"{tokenize.TOKENIZER_DIR}/word_bpe_49k.json")
+
+
 # --- 5: pieces
 
 def check_pieces(text, limit, overlap):
@@ -365,6 +370,17 @@ def test_article_is_kept(spark):
     assert blocks.find_furniture(rows.limit(0)).count() == 0
 
 
+def test_handing_down_takes_linear_time():
+    import time
+
+    lines = [f"line {i} of the page" for i in range(8_000)]
+    began = time.perf_counter()
+    rows = blocks.handed_down("\n".join(lines), list(range(8_000)), np.zeros(8_000), "\n".join(f"other {x}" for x in lines))
+    assert [p for _, p in rows] == [None] * 8_000 and time.perf_counter() - began < 0.3
+    again = blocks.handed_down("a\nb\na\nb", [0, 1, 2, 3], np.array([0.0, 0.1, 0.2, 0.3]), "b\nb\na\na")
+    assert again == [(0, 0.1), (1, 0.3), (2, None), (3, None)]
+
+
 def test_text_is_the_plain_form_of_its_markdown(spark):
     for r in table(spark, "extracted_page").filter("markdown is not null and text is not null").collect():
         at = [i for i, x in enumerate(r.markdown.split("\n")) if x.strip()]
