@@ -44,27 +44,13 @@ def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WORDS = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), i AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.1 * n),
+n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), i AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n),
 r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN i USING (term)), l AS (SELECT doc_id, sqrt(sum(raw * raw)) AS length FROM r GROUP BY 1), w AS (SELECT doc_id, term, raw / length AS weight FROM r JOIN l USING (doc_id)) """
 
 
 @query(_WORDS + """, s AS (SELECT a.doc_id AS query_id, b.doc_id AS id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")
-def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The stated queries are the documents whose id is divisible by 100; terms in over a tenth of all documents say little
-    about likeness and are left out of the weights; ``tfidf_neighbours_whole`` counts them."""
-    docs = _documents(spark, d).select("doc_id", "text")
-    w = tfidf.tfidf(docs, bigrams=False, max_share=0.1)
-    out = tfidf.cosine_top(w, docs.filter("doc_id % 100 = 0"), 5)
-    return out.select("query_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-_WHOLE = _WORDS.replace("count(*) <= 0.1 * n", "count(*) <= 0.95 * n")
-
-
-@query(_WHOLE + """, s AS (SELECT a.doc_id AS query_id, b.doc_id AS id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")
-def tfidf_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The stated queries are the documents whose id is divisible by 100. Terms of up to 0.95 of all documents count, so
     the members of a large group of copies keep their weights and find each other."""
     docs = _documents(spark, d).select("doc_id", "text")
@@ -268,12 +254,12 @@ _SIDES = ", ".join(_SIDE.format(w=_sql_words(x), x=x, k=k, stops=_STOPS, negatio
 
 
 @query(f"""WITH l AS (SELECT page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS chunk FROM (SELECT page_id, string_split(text, chr(10)) AS a FROM extracted_page WHERE text IS NOT NULL)),
-k AS (SELECT c.id, l.pos, c.text AS claim, l.chunk FROM claim c JOIN l USING (page_id) WHERE l.pos < 10 AND trim(regexp_replace(l.chunk, '[\\t\\r\\x{{00a0}}]', ' ', 'g')) <> ''), s AS (SELECT id, pos, {_SIDES} FROM k),
+k AS (SELECT c.id, l.pos, c.text AS claim, l.chunk FROM claim c JOIN l USING (page_id) WHERE trim(regexp_replace(l.chunk, '[\\t\\r\\x{{00a0}}]', ' ', 'g')) <> ''), s AS (SELECT id, pos, {_SIDES} FROM k),
 o AS (SELECT *, CASE WHEN len(c1) > 0 AND len(c2) > 0 THEN len(list_intersect(c1, c2)) / len(list_distinct(list_concat(c1, c2))) ELSE 0.0 END AS overlap FROM s),
 g AS (SELECT id, pos, round(CASE WHEN n1 <> n2 OR (len(d1) > 0 AND len(d2) > 0 AND len(list_intersect(d1, d2)) = 0) THEN -overlap ELSE overlap END, 6) AS score FROM o)
 SELECT id, arg_max(pos, (abs(score), -pos)) AS pos, arg_max(score, (abs(score), -pos)) AS score FROM g GROUP BY id""")
 def claim_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest of the first ten lines for or against each claim, by the rule that stands in for a model."""
+    """The strongest of all lines of its page for or against each claim, by the rule that stands in for a model."""
     scored = _claim_lines(spark, d).withColumn("score", ports.alignment_score(F.col("claim"), F.col("chunk")))
     best = strongest(scored.select("id", "pos", "score"), ["id"])
     return best.select("id", F.col("pos").cast("bigint").alias("pos"), "score")
@@ -296,7 +282,8 @@ def markdown_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("page_id").agg(F.count("*").alias("pieces"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("chars"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT id, {_sql_words("text")} AS w FROM claim)), u AS (SELECT id, w, min(i) AS i FROM t WHERE w <> '' AND w NOT IN {_STOPS} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(w) DESC, i) AS k FROM u), s AS (SELECT id, string_agg(w, ' ' ORDER BY i) AS query FROM r WHERE k <= 6 GROUP BY 1) SELECT c.id, coalesce(s.query, '') AS query FROM claim c LEFT JOIN s USING (id)""")
 def claim_queries(spark: SparkSession, d: str) -> DataFrame:
     """Search queries of claims, by the rule that stands in for a model."""
     return read_table(spark, d, "claim").select("id", ports.query_terms(F.col("text")).alias("query"))

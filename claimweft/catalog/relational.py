@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweft.catalog import query
@@ -11,7 +11,8 @@ from claimweft.functions import text as X
 from claimweft.functions.time import micros
 from claimweft.operators import eventlog, locate, search, sets
 from claimweft.operators.chunk import lines
-from claimweft.plans.pipeline import analyse, candidate_sources, verify
+from claimweft.models import ports
+from claimweft.plans.pipeline import analyse, candidate_sources, verify, verify_sources
 from claimweft.sources import providers
 from claimweft.sources.tables import read_table
 
@@ -181,11 +182,11 @@ def active_tasks(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.active_count(events, ["user_id"], "change").select("event_id", "active")
 
 
-def session_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the log read as those of analysis sessions, one a user."""
+def session_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Events of the log, or of a stream of it, read as those of analysis sessions, one a user."""
     kind = F.create_map(*map(F.lit, ["signup", "claim", "view", "verify", "click", "verdict", "purchase", "progress", "error", "error"]))
     k = F.get_json_object("props", "$.k").cast("int")
-    return read_table(spark, d, "events").select(
+    return (read_table(spark, d, "events") if events is None else events).select(
         "user_id", "ts", "event_id", kind[F.col("event_type")].alias("kind"), F.when(F.col("event_type") != "purchase", F.concat(F.lit("c"), (k % 5).cast("string"))).alias("claim"),
         F.lit(None).cast("string").alias("message"), (F.col("value") / 100).alias("value"))
 
@@ -221,8 +222,18 @@ def verified_claims(spark: SparkSession, d: str) -> DataFrame:
     return verify(claims, candidate_sources(claims, hits, pages))
 
 
-@query("""WITH r AS (SELECT claimId AS query, url, title, snippet, row_number() OVER (PARTITION BY claimId ORDER BY hit_id) - 1 AS pos FROM search_hit WHERE url IS NOT NULL)
-SELECT query, pos, url, title, coalesce(snippet, '') AS snippet FROM r WHERE coalesce(title, '') <> '' AND NOT regexp_matches(title || coalesce(snippet, ''), '<')""")
+@query()
+def verified_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each claim against the whole text of its page, as a fetched source."""
+    claims, pages = read_table(spark, d, "claim").select("id", "page_id", "text"), read_table(spark, d, "extracted_page").select("page_id", "markdown")
+    return verify_sources(claims, claims.select("id", "page_id"), pages, source="page_id")
+
+
+_STRIP = "regexp_replace({}, '<[^>]+>', '', 'g')"
+
+
+@query(f"""WITH r AS (SELECT claimId AS query, url, {_STRIP.format("'<b>' || title || '</b>'")} AS title, {_STRIP.format("coalesce(snippet, '')")} AS snippet, title IS NOT NULL AS titled, row_number() OVER (PARTITION BY claimId ORDER BY hit_id) - 1 AS pos FROM search_hit WHERE url IS NOT NULL)
+SELECT query, pos, url, title, snippet FROM r WHERE titled""")
 def provider_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits sent as a provider's nested JSON, and read back by its adapter."""
     hits = read_table(spark, d, "search_hit").filter("url is not null")
@@ -230,8 +241,57 @@ def provider_hits(spark: SparkSession, d: str) -> DataFrame:
     sent = hits.groupBy(F.col("claimId").alias("query")).agg(F.array_sort(F.collect_list(result)).alias("x"))
     body = F.to_json(F.struct(F.struct(F.transform("x", lambda x: x["r"]).alias("results")).alias("web")))
     found = providers.provider("json")(sent.select("query", body.alias("body")))
-    kept = found.filter("title <> ''").join(hits.filter("title rlike '<' or snippet rlike '<'").select(F.col("claimId").alias("query"), "url"), ["query", "url"], "left_anti")
-    return kept.select("query", F.col("pos").cast("bigint").alias("pos"), "url", "title", "snippet")
+    return found.select("query", F.col("pos").cast("bigint").alias("pos"), "url", "title", "snippet")
+
+
+_RESULTS = """WITH r AS (SELECT claimId AS query, hit_id, url, title, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, row_number() OVER (PARTITION BY claimId ORDER BY hit_id) - 1 AS pos,
+first_value(lower(coalesce(domain, ''))) OVER (PARTITION BY claimId ORDER BY hit_id DESC) AS wanted FROM search_hit WHERE url IS NOT NULL), v AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS n FROM r WHERE title <> '' AND url <> ''),
+c AS (SELECT *, wanted = '' OR host = wanted OR host LIKE '%.' || wanted AS own FROM v WHERE n <= LIMIT), k AS (SELECT *, bool_or(own) OVER (PARTITION BY query) AS found FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS m FROM k WHERE own OR NOT found)
+SELECT query, pos, url FROM o WHERE m <= 2"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as a provider's results; the wanted domain of a claim is that of its last hit."""
+    hits = read_table(spark, d, "search_hit").filter("url is not null").select(F.col("claimId").alias("query"), "hit_id", "url", "title", F.lower(F.coalesce("domain", F.lit(""))).alias("domain"))
+    last = hits.groupBy("query").agg(F.max_by("domain", "hit_id").alias("wanted"))
+    w = Window.partitionBy("query").orderBy("hit_id")
+    return hits.drop("domain").withColumn("pos", F.row_number().over(w) - 1).join(last, "query")
+
+
+@query(_RESULTS.replace("LIMIT", "4"))
+def provider_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Twice as many results as wanted are collected before those of other domains go."""
+    found = providers.provider("wide")(_results(spark, d), limit=2, domain="wanted")
+    return found.select("query", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
+@query(_RESULTS.replace("LIMIT", "2"))
+def provider_redirect(spark: SparkSession, d: str) -> DataFrame:
+    """Results behind a redirect, cut before those of other domains go."""
+    wrapped = F.concat(F.lit("https://go.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))
+    found = providers.provider("redirect")(_results(spark, d).withColumn("url", wrapped), limit=2, domain="wanted")
+    return found.select("query", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
+@query("SELECT hit_id, CASE WHEN coalesce(domain, '') <> '' THEN 'site:' || domain || ' ' || title ELSE title END AS before, CASE WHEN coalesce(domain, '') <> '' THEN title || ' site:' || domain || ' -filetype:pdf' ELSE title END AS after, greatest(1, least(20, hit_id % 40)) AS n FROM search_hit")
+def site_queries(spark: SparkSession, d: str) -> DataFrame:
+    hits = read_table(spark, d, "search_hit")
+    ask = lambda style: providers.site_query(F.col("title"), F.col("domain"), style)
+    return hits.select("hit_id", ask("before").alias("before"), ask("after_no_pdf").alias("after"), providers.result_count(F.col("hit_id") % 40).alias("n"))
+
+
+@query("SELECT user_id AS query, arg_min(status, attempt) AS status FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS attempt, CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 429 WHEN 'view' THEN 404 ELSE 200 END AS status FROM events) WHERE attempt < 2 AND status NOT IN (429, 500, 503) GROUP BY 1")
+def provider_retries(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "click", 429).when(F.col("event_type") == "view", 404).otherwise(200)
+    attempts = read_table(spark, d, "events").select(F.col("user_id").alias("query"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("attempt"), status.alias("status"))
+    return providers.retried(attempts).select("query", "status")
+
+
+@query("WITH c AS (SELECT page_id, trim(text) AS text, row_number() OVER (PARTITION BY page_id ORDER BY id) AS n FROM claim WHERE trim(text) <> '') SELECT page_id, 'c' || n AS claim_id, text FROM c WHERE n <= 5")
+def claims_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """The first five claims with text of each page, numbered anew."""
+    found = ports.accepted_claims(read_table(spark, d, "claim").select("page_id", "id", "text"), "page_id", pos="id", n=5)
+    return found.select("page_id", "claim_id", "text")
 
 
 @query("""WITH c AS (SELECT claimId, count(*) FILTER (customDomain) AS own, count(*) AS n FROM search_hit GROUP BY 1) SELECT claimId AS query, CASE WHEN own > 0 THEN own ELSE n END AS hits FROM c""")

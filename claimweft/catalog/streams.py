@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweft.catalog import query
-from claimweft.catalog.relational import GAP
+from claimweft.catalog import ORACLES, query
+from claimweft.catalog.relational import GAP, session_events
 from claimweft.functions.time import micros
 from claimweft.session import shared_folder
 from claimweft.sources.tables import read_table
@@ -75,24 +75,26 @@ def log_thin_stream(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, thin_out_stream(_in_order(spark, d), ["event_type", "user_id"], GAP)).select("event_id")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, user_id, event_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS stretch FROM e)
+SELECT event_type, user_id, epoch_us(min(ts)) AS start_us, arg_max(value, (ts, event_id)) AS value, count(*) AS changes FROM s GROUP BY event_type, user_id, stretch""")
 def log_settled_stream(spark: SparkSession, d: str) -> DataFrame:
     """All stretches, those at the end of the table too: they are closed by a row of two days later."""
     out = _run(spark, settled_stream(_in_order(spark, d, 2 * 86_400), ["event_type", "user_id"], "1 hour"))
     return out.select("event_type", "user_id", micros("start").alias("start_us"), "value", "changes")
 
 
-@query()
+@query(ORACLES["session_states"].replace("round(progress, 6) AS progress, ", "").replace(", coalesce(verifying, 0) AS verifying", ""))
 def session_state_stream(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.create_map(*map(F.lit, ["signup", "claim", "view", "verify", "click", "verdict", "purchase", "progress", "error", "error"]))
-    k = F.get_json_object("props", "$.k").cast("int")
-    events = _source(spark, d).select(
-        "user_id", "ts", "event_id", kind[F.col("event_type")].alias("kind"), F.when(F.col("event_type") != "purchase", F.concat(F.lit("c"), (k % 5).cast("string"))).alias("claim"),
-        F.lit(None).cast("string").alias("message"), (F.col("value") / 100).alias("value"))
-    return _run(spark, state_stream(events, "user_id"), "update")
+    """The last state of each session, after all micro-batches."""
+    out = _run(spark, state_stream(session_events(spark, d, _source(spark, d)), "user_id"), "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("n_claims", "done", "errors"), "n_events").alias("s"), F.max("n_events").alias("n_events"))
+    long = lambda c: F.col(f"s.{c}").cast("bigint").alias(c)
+    return last.select("user_id", "n_events", long("errors"), long("n_claims"), long("done"))
 
 
-@query()
+@query("""WITH t AS (SELECT user_id, event_type || ' ' || json_extract_string(props, '$.k') AS claim, min(event_id) AS first FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS n FROM t) SELECT user_id, 'c' || n AS claim_id, claim FROM r WHERE n <= 5""")
 def claim_delta_stream(spark: SparkSession, d: str) -> DataFrame:
     """Claims of an answer that comes in pieces: each event is one object of its user's growing array."""
     deltas = _source(spark, d).select(

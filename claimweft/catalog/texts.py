@@ -69,9 +69,10 @@ def snippet_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_markdown(x: str) -> str:
+    ws = "[ \\t\\r\\n\\x{00a0}]"
     for pattern, by in (
-        ("```[\\s\\S]*?```", " "), ("`[^`\\n]*`", " "), ("!\\[[^\\]]*\\]\\([^)]*\\)", " "), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("<!--[\\s\\S]*?-->", " "), ("<[^>]+>", " "),
-        ("(?m)^#{1,6}[ \\t].*$", ""), ("(?m)^(=+|-+)[ \\t]*$", ""), ("(?m)^[ \\t]*>[ \\t]?", ""), ("[*_~]", ""), ("[ \\t\\r\\n]+\\n", "\n"), ("\\n{2,}", "\n\n"), ("[ \\t]+", " "), ("^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", ""),
+        ("```[\\s\\S]*?```", " "), ("`[^`]*`", " "), ("!\\[[^\\]]*\\]\\([^)]*\\)", " "), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("<!--[\\s\\S]*?-->", " "), ("<[^>]+>", " "),
+        (f"(?m)^#{{1,6}}{ws}+.*$", ""), (f"(?m)^[-=]{{3,}}{ws}*$", ""), (f"(?m)^>{ws}+", ""), ("[*_~]", ""), (f"{ws}+\\n", "\n"), ("\\n{2,}", "\n\n"), ("[ \\t]{2,}", " "), (f"^{ws}+|{ws}+$", ""),
     ):
         x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
     return x
@@ -210,24 +211,46 @@ def language_votes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", ports.language_votes(F.col("text")).alias("v")).select("doc_id", "v.lang", F.col("v.votes").cast("bigint").alias("votes"), "v.confidence")
 
 
-@query("SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda w: w <> '')) AS words FROM extracted_page WHERE length(text) BETWEEN 600 AND 20000 AND regexp_matches(text, '^[\\x20-\\x7e\\n]*$') AND title IS NOT NULL AND trim(title) = title AND title NOT LIKE '%  %'")
+#: White space of any script, as Python's split takes it.
+_SPACE = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_LONG = f"length(regexp_replace(replace(coalesce(text, ''), chr(10), '') || 'Morevar a = 1;', '^{_SPACE}', '')) > 400"
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(coalesce(title, ''), '{_SPACE}', ' ', 'g')) AS title, CASE WHEN page_id % 3 > 0 THEN 'A. Writer' END AS author, CASE page_id % 3 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2024-01-02' END AS published,
+len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '')) AS words, CASE WHEN {_LONG} THEN CASE page_id % 3 WHEN 1 THEN 'schema' ELSE 'article' END ELSE 'document' END AS strategy,
+CASE WHEN {_LONG} THEN 1 ELSE 3 END AS noise FROM extracted_page""")
 def page_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Pages wrapped in HTML with furniture around the article, and read back: the slice that SQL can follow. All pages are
-    read by ``page_extract_whole``."""
-    pages = read_table(spark, d, "extracted_page").filter("length(text) between 600 and 20000 and text rlike '^[\\\\x20-\\\\x7e\\\\n]*$' and title is not null and trim(title) = title and not title like '%  %'")
-    return _extracted(pages)
+    """Every page wrapped in HTML with furniture around the article, and read back. Author and date stand in other places
+    by the page's number: nowhere and in a time element, in meta elements and beside a marked article, in a byline."""
+    pages = spread(read_table(spark, d, "extracted_page").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")))
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n", "</p><p>")
+    k = F.col("page_id") % 3
+    meta = F.when(k == 1, "<meta name='author' content='By A. Writer'><meta property='article:published_time' content='2024-01-02'>").otherwise("")
+    byline = F.when(k == 2, "<span class='byline'>by A. Writer</span>").when(k == 0, "<time datetime='2024-05-06'></time>").otherwise("")
+    html = F.concat(
+        F.lit("<html><head><title>"), F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;"), F.lit("</title>"), meta, F.lit("</head><body><nav>Home News</nav><header role='banner'>"), byline,
+        F.when(k == 1, "</header><article itemtype='https://schema.org/BlogPosting'><p>").otherwise("</header><article><p>"), safe,
+        F.lit("</p><div class='related-links'><a href='/1'>More</a></div><script>var a = 1;</script></article></body></html>"))
+    out = extract_pages(pages.select("page_id", html.alias("html")), ["page_id"])
+    long = lambda c: F.col(c).cast("bigint")
+    return out.select("page_id", "title", "author", "published", long("word_count").alias("words"), "strategy", long("noise_removed").alias("noise"))
 
 
 @query()
-def page_extract_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every row of the table: any script, any length, with or without a text or a title."""
-    return _extracted(spread(read_table(spark, d, "extracted_page").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))))
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown that was rendered to HTML, and is read back as the same markdown: headings, lists and paragraphs."""
+    pages = read_table(spark, d, "extracted_page").filter("text is not null").select("page_id", "text")
+    safe = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    body = F.concat(F.lit("<article><h1>Head</h1><p>"), F.regexp_replace(safe, "\n", "</p><p>"), F.lit("</p><ul><li>one</li><li><b>two</b></li></ul></article>"))
+    out = extract_pages(pages.select("page_id", body.alias("html")), ["page_id"])
+    return out.select("page_id", F.md5("markdown").alias("digest"), F.length("markdown").alias("n"))
 
 
-def _extracted(pages: DataFrame) -> DataFrame:
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n", "</p><p>")
-    html = F.concat(
-        F.lit("<html><head><title>"), F.regexp_replace(F.regexp_replace("title", "&", "&amp;"), "<", "&lt;"), F.lit("</title></head><body><nav>Home News</nav><article><p>"), safe,
-        F.lit("</p><div class='related-links'><a href='/1'>More</a></div><script>var a = 1;</script></article><footer>end</footer></body></html>"))
-    out = extract_pages(pages.select("page_id", html.alias("html")), ["page_id"])
-    return out.select("page_id", "title", "author", F.col("word_count").cast("bigint").alias("words"))
+_CAPS = {"article": (16_000, ""), "source": (10_000, "\n\n[cut]"), "prompt": (12_000, "")}
+
+
+@query("SELECT doc_id, " + ", ".join(f"md5(CASE WHEN length(text) > {n} THEN left(text, {n}) || '{mark}' ELSE text END) AS {name}" for name, (n, mark) in _CAPS.items()) + " FROM documents WHERE text IS NOT NULL")
+def text_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as prompts take them: the first characters, with a mark where something is missing."""
+    docs = read_table(spark, d, "documents").filter("text is not null")
+    return docs.select("doc_id", *[F.md5(X.capped("text", n, mark)).alias(name) for name, (n, mark) in _CAPS.items()])

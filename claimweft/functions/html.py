@@ -16,12 +16,16 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg".split())
 BLOCKS = frozenset("p div section article main header footer aside nav ul ol li table tr blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption form br hr dl dt dd".split())
-#: Elements, roles and parts of class names or labels that mark furniture of a page.
-NOISE_TAGS = frozenset("nav aside footer".split())
-NOISE_ROLES = frozenset("navigation complementary contentinfo search banner".split())
-NOISE_PARTS = (
-    "related", "teaser", "newsletter", "cookie", "consent", "share", "social", "sidebar", "promo", "advert", "recommend", "comment", "paywall", "breadcrumb", "subscribe", "most-read",
-)
+#: What marks furniture of a page, in the order in which it is taken out: elements, an element with a role,
+#: roles, parts of class names, of ids and of labels, overlays, and banners without a role.
+NOISE_RULES: list[tuple[str, str]] = [
+    ("tag", "nav"), ("tag", "aside"), ("tag", "footer"), ("header-role", "banner"), ("role", "navigation"), ("role", "complementary"), ("role", "search"),
+    ("class", "related"), ("class", "teaser"), ("class", "more-from"), ("class", "recommend"), ("class", "trending"), ("class", "newsletter"), ("class", "subscribe"),
+    ("class", "paywall"), ("class", "comments"), ("class", "social"), ("class", "share"), ("id", "related"), ("id", "recommend"), ("id", "comments"),
+    ("aria-label", "related"), ("aria-label", "more"), ("class", "cookie"), ("class", "consent"), ("class-no-role", "banner"),
+]
+#: Endings of item types that mark an article.
+ARTICLE_TYPES = ("/NewsArticle", "/Article", "/BlogPosting", "/ReportageNewsArticle")
 SUBSTANTIAL = 400
 _CODE = re.compile(r"&#(x[0-9a-fA-F]+|\d+);")
 
@@ -53,6 +57,10 @@ class Node:
             node = node.children[i]
         return node
 
+    def raw_text(self) -> str:
+        """All characters below this node, shown or not."""
+        return "".join(c if isinstance(c, str) else c.raw_text() for c in self.children)
+
     def text(self) -> str:
         """One line a block; what isn't shown is left out."""
         parts: list[str] = []
@@ -108,51 +116,65 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def is_noise(node: Node) -> bool:
-    role = node.attrs.get("role", "").lower()
-    if node.tag in NOISE_TAGS or role in NOISE_ROLES:
-        return True
-    label = " ".join(node.attrs.get(k, "") for k in ("class", "id", "aria-label")).lower()
-    return any(p in label for p in NOISE_PARTS) or "banner" in node.attrs.get("class", "").lower() and not role
+def noise_rule(node: Node) -> int | None:
+    """Number of the first rule that takes this node out, if any does."""
+    role = node.attrs.get("role")
+    by = {name: node.attrs.get(name, "").lower() for name in ("class", "id", "aria-label")}
+    for k, (where, value) in enumerate(NOISE_RULES):
+        if where == "tag":
+            hit = node.tag == value
+        elif where == "header-role":
+            hit = node.tag == "header" and role == value
+        elif where == "role":
+            hit = role == value
+        elif where == "class-no-role":
+            hit = role is None and value in by["class"]
+        else:
+            hit = value in by[where]
+        if hit:
+            return k
+    return None
 
 
 def drop_noise(root: Node) -> int:
-    """Furniture leaves the tree, outer elements first; how many went."""
-    gone = 0
-    for node in list(root.walk()):
-        top = node
-        while top is not root and top.parent is not None:
-            top = top.parent
-        if node is not root and top is root and is_noise(node):
-            node.parent.children = [c for c in node.parent.children if c is not node]
-            node.parent = None
-            gone += 1
+    """Furniture leaves the tree, rule by rule; how many elements went. What an earlier rule took along isn't counted."""
+    gone, found = 0, []
+    stack: list[tuple[Node, int]] = [(c, len(NOISE_RULES)) for c in root.children if isinstance(c, Node)]
+    while stack:
+        node, least = stack.pop()
+        rule = noise_rule(node)
+        if rule is not None:
+            gone += rule <= least
+            found.append(node)
+            least = min(least, rule)
+        stack += [(c, least) for c in node.children if isinstance(c, Node)]
+    for node in found:
+        node.parent.children = [c for c in node.parent.children if c is not node]
     return gone
 
 
+def is_substantial(node: Node) -> bool:
+    return len(node.raw_text().strip()) > SUBSTANTIAL
+
+
 def content_score(node: Node) -> int:
-    return len(node.text()) - 50 * sum(n.tag == "a" for n in node.walk())
+    return len(node.raw_text().strip()) - 50 * sum(n.tag == "a" for n in node.walk() if n is not node)
 
 
 def container(root: Node) -> tuple[Node, str]:
-    """The schema.org article if substantial, else the only article, the best article, main, its role, or everything."""
-    marked = next((n for n in root.walk() if n.attrs.get("itemtype", "").lower().endswith("article")), None)
-    if marked is not None and len(marked.text().strip()) > SUBSTANTIAL:
+    """The first marked article if substantial, else the only substantial article, the best of them, main, its role, or
+    the whole body."""
+    marked = next((n for n in root.walk() if n.attrs.get("itemtype", "").endswith(ARTICLE_TYPES)), None)
+    if marked is not None and is_substantial(marked):
         return marked, "schema"
-    articles = [n for n in root.walk() if n.tag == "article"]
-    if len(articles) == 1 and len(articles[0].text().strip()) > SUBSTANTIAL:
-        return articles[0], "article"
-    best = None
-    for n in articles:
-        if len(n.text().strip()) > SUBSTANTIAL and (best is None or content_score(n) > content_score(best)):
-            best = n
-    if best is not None:
-        return best, "best-article"
+    articles = [n for n in root.walk() if n.tag == "article" and is_substantial(n)]
+    if articles:
+        return max(articles, key=content_score), "article" if len(articles) == 1 else "best-article"
     for test, name in ((lambda n: n.tag == "main", "main"), (lambda n: n.attrs.get("role") == "main", "role-main")):
         node = next((n for n in root.walk() if test(n)), None)
-        if node is not None and len(node.text().strip()) > SUBSTANTIAL:
+        if node is not None and is_substantial(node):
             return node, name
-    return root, "document"
+    return next((n for n in root.walk() if n.tag == "body"), root), "document"
 
 
 def _meta(root: Node, *names: str) -> str | None:
@@ -188,6 +210,82 @@ def published(root: Node) -> str | None:
     return _by_class(root, "date", "published")
 
 
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~"}
+
+
+def _inline(node: Node) -> str:
+    parts = []
+    for c in node.children:
+        if isinstance(c, str):
+            parts.append(re.sub(r"\s+", " ", c))
+        elif c.tag in HIDDEN:
+            continue
+        elif c.tag == "br":
+            parts.append("\n")
+        elif c.tag == "img":
+            parts.append(f"![{c.attrs.get('alt', '')}]({c.attrs['src']})" if c.attrs.get("src") else "")
+        else:
+            inner = _inline(c)
+            bare = inner.strip()
+            if c.tag == "a" and c.attrs.get("href") and bare:
+                inner = f"[{bare}]({c.attrs['href']})"
+            elif c.tag in _MARKS and bare:
+                mark = _MARKS[c.tag]
+                inner = inner.replace(bare, f"{mark}{bare}{mark}", 1)
+            parts.append(inner)
+    return "".join(parts)
+
+
+def _blocks(node: Node) -> list[str]:
+    """Blocks of markdown below a node; text between blocks is a block of its own."""
+    out: list[str] = []
+    loose = Node("#loose", {}, None)
+
+    def settle() -> None:
+        text = re.sub(r" {2,}", " ", _inline(loose)).strip()
+        if text:
+            out.append(re.sub(r" ?\n ?", "\n", text))
+        loose.children = []
+
+    for c in node.children:
+        if isinstance(c, str) or c.tag not in BLOCKS and not any(isinstance(n, Node) and n.tag in BLOCKS for n in c.walk()) or c.tag == "br":
+            loose.children.append(c)
+            continue
+        settle()
+        if c.tag in HIDDEN:
+            continue
+        if c.tag[:1] == "h" and c.tag[1:].isdigit():
+            text = re.sub(r"\s+", " ", _inline(c)).strip()
+            out += [f"{'#' * int(c.tag[1:])} {text}"] if text else []
+        elif c.tag in ("ul", "ol"):
+            items = [n for n in c.children if isinstance(n, Node) and n.tag == "li"]
+            lines = []
+            for k, item in enumerate(items, 1):
+                mark = f"{k}. " if c.tag == "ol" else "- "
+                inner = "\n".join(_blocks(item)).split("\n")
+                lines += [mark + inner[0], *("  " + x for x in inner[1:] if x)] if inner[0] else []
+            out += ["\n".join(lines)] if lines else []
+        elif c.tag == "blockquote":
+            inner = "\n\n".join(_blocks(c))
+            out += ["\n".join(f"> {x}".rstrip() for x in inner.split("\n"))] if inner else []
+        elif c.tag == "pre":
+            out.append(f"```\n{c.raw_text().strip(chr(10))}\n```")
+        elif c.tag == "hr":
+            out.append("---")
+        elif c.tag == "tr":
+            cells = [re.sub(r"\s+", " ", _inline(n)).strip() for n in c.children if isinstance(n, Node) and n.tag in ("td", "th")]
+            out += ["| " + " | ".join(cells) + " |"] if cells else []
+        else:
+            out += _blocks(c)
+    settle()
+    return out
+
+
+def markdown(node: Node) -> str:
+    """A tree as markdown: headings, paragraphs, lists, quotations, code, links, pictures and emphasis."""
+    return "\n\n".join(_blocks(node))
+
+
 def extract(html: str | None) -> dict:
     root = parse(html or "")
     title = next((re.sub(r"\s+", " ", n.text()).strip() for n in root.walk() if n.tag == "title"), None)
@@ -196,18 +294,18 @@ def extract(html: str | None) -> dict:
     body, strategy = container(root)
     gone = drop_noise(body)
     text = body.text()
-    return {"title": title, "author": who, "published": when, "language": language or None, "text": text, "word_count": len(text.split()), "strategy": strategy, "noise_removed": gone}
+    return {"title": title, "author": who, "published": when, "language": language or None, "markdown": markdown(body), "text": text, "word_count": len(text.split()), "strategy": strategy, "noise_removed": gone}
 
 
 PAGE = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("published", T.StringType()), T.StructField("language", T.StringType()),
-    T.StructField("text", T.StringType()), T.StructField("word_count", T.IntegerType()), T.StructField("strategy", T.StringType()), T.StructField("noise_removed", T.IntegerType()),
+    T.StructField("markdown", T.StringType()), T.StructField("text", T.StringType()), T.StructField("word_count", T.IntegerType()), T.StructField("strategy", T.StringType()), T.StructField("noise_removed", T.IntegerType()),
 ])
-_ARROW = pa.schema([("title", pa.string()), ("author", pa.string()), ("published", pa.string()), ("language", pa.string()), ("text", pa.string()), ("word_count", pa.int32()), ("strategy", pa.string()), ("noise_removed", pa.int32())])
+_ARROW = pa.schema([("title", pa.string()), ("author", pa.string()), ("published", pa.string()), ("language", pa.string()), ("markdown", pa.string()), ("text", pa.string()), ("word_count", pa.int32()), ("strategy", pa.string()), ("noise_removed", pa.int32())])
 
 
 def extract_pages(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
-    """(keys, title, author, published, language, text, word_count, strategy, noise_removed) of each page. Narrow."""
+    """(keys, title, author, published, language, markdown, text, word_count, strategy, noise_removed) of each page. Narrow."""
     schema = T.StructType([pages.schema[k] for k in keys] + PAGE.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

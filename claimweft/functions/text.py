@@ -59,18 +59,18 @@ def strip_tags(x: Text) -> Column:
 def plain_markdown(x: Text) -> Column:
     """Markdown as plain text: code and images go, link labels stay, headings are dropped, one block a line."""
     out = replace(x, "```[\\s\\S]*?```", " ")
-    out = replace(out, "`[^`\\n]*`", " ")
+    out = replace(out, "`[^`]*`", " ")
     out = replace(out, "!\\[[^\\]]*\\]\\([^)]*\\)", " ")
     out = F.regexp_replace(out, F.lit("\\[([^\\]]*)\\]\\([^)]*\\)"), F.lit("$1"))
     out = replace(out, "<!--[\\s\\S]*?-->", " ")
     out = replace(out, "<[^>]+>", " ")
-    out = replace(out, "(?m)^#{1,6}[ \\t].*$", "")
-    out = replace(out, "(?m)^(=+|-+)[ \\t]*$", "")
-    out = replace(out, "(?m)^[ \\t]*>[ \\t]?", "")
+    out = replace(out, f"(?m)^#{{1,6}}{WS}+.*$", "")
+    out = replace(out, f"(?m)^[-=]{{3,}}{WS}*$", "")
+    out = replace(out, f"(?m)^>{WS}+", "")
     out = replace(out, "[*_~]", "")
-    out = replace(out, "[ \\t\\r\\n]+\\n", "\n")
-    out = replace(out, "\\n{2,}", "\n\n")
-    return replace(replace(out, "[ \\t]+", " "), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    out = replace(out, f"{WS}+\n", "\n")
+    out = replace(out, "\n{2,}", "\n\n")
+    return replace(replace(out, "[ \t]{2,}", " "), f"^{WS}+|{WS}+$", "")
 
 
 def tight_emphasis(x: Text) -> Column:
@@ -147,6 +147,11 @@ def alignment_label(x: Text) -> Column:
     return F.when(low.startswith("agree"), "agrees").when(low.startswith("disagree") | low.startswith("contradict"), "disagrees").otherwise("unrelated")
 
 
+def capped(x: Text, n: int, mark: str = "") -> Column:
+    """The first ``n`` characters, and ``mark`` where there were more."""
+    return F.when(F.length(_c(x)) > n, F.concat(F.left(_c(x), F.lit(n)), F.lit(mark))).otherwise(_c(x))
+
+
 def ellipsis(x: Text, n: int) -> Column:
     return F.when(F.length(_c(x)) > n, F.concat(F.rtrim(F.left(_c(x), F.lit(n - 1))), F.lit("…"))).otherwise(_c(x))
 

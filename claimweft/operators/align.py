@@ -148,8 +148,7 @@ def best_aligned(pairs: DataFrame, key: list[str], left: str, right: str, pos: s
     return traced.select(*key, pos, right, "score", "sw.matches", "sw.mismatches", "sw.gaps", F.col("sw.left").alias("aligned"), "rank")
 
 
-def strongest(scores: DataFrame, key: list[str], score: str = "score", pos: str = "pos", first: int = 10) -> DataFrame:
-    """The row of the largest absolute score among the ``first`` positions of each key."""
+def strongest(scores: DataFrame, key: list[str], score: str = "score", pos: str = "pos") -> DataFrame:
+    """The row of the largest absolute score of each key; of equal ones the first."""
     rest = [c for c in scores.columns if c not in key]
-    kept = scores.filter(F.col(pos) < first)
-    return kept.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.abs(F.col(score)), -F.col(pos))).alias("_r")).select(*key, "_r.*")
+    return scores.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.abs(F.col(score)), -F.col(pos))).alias("_r")).select(*key, "_r.*")

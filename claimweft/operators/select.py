@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweft.models.ports import STOP_WORDS
+
+#: Frequent words of all languages.
+STOPS = frozenset(w for s in STOP_WORDS.values() for w in s.split())
 _TOKEN = re.compile(r"[^\W]{2,}")
 
 
@@ -89,6 +93,20 @@ def stars(sim: np.ndarray, threshold: float) -> list[list[int]]:
     return out
 
 
+def without_stops(text: str, stops: frozenset[str] = STOPS) -> str:
+    """Words without frequent ones; marks become blanks."""
+    return " ".join(w for w in re.sub(r"[^\w\s]", " ", text.lower()).split() if w not in stops)
+
+
+def long_words(text: str, stops: frozenset[str] = STOPS, least: int = 3) -> str:
+    """Words as they stand, of ``least`` letters or more, without frequent ones."""
+    return " ".join(w for w in text.lower().split() if len(w) >= least and w not in stops)
+
+
+#: What chunks are reduced to before terms are counted; a lemmatiser or compound splitter is registered under a name.
+PREPROCESSORS: dict[str, Callable[[str], str]] = {"none": str, "stops": without_stops, "long_words": long_words}
+
+
 def by_mmr(chunks: list[str], n: int, balance: float) -> tuple[list[int], np.ndarray]:
     m = term_matrix(chunks)
     imp = m.sum(1)
@@ -96,15 +114,13 @@ def by_mmr(chunks: list[str], n: int, balance: float) -> tuple[list[int], np.nda
 
 
 def by_textrank(chunks: list[str], n: int, balance: float) -> tuple[list[int], np.ndarray]:
-    sim = similarity(term_matrix(chunks))
-    np.fill_diagonal(sim, 1.0)
+    sim = similarity(term_matrix(chunks, min_df=1, max_share=0.9))
     imp = page_rank(sim)
     return marginal_relevance(imp, sim, n, balance), imp
 
 
 def by_topics(chunks: list[str], n: int, threshold: float) -> tuple[list[int], np.ndarray]:
-    sim = similarity(term_matrix(chunks))
-    np.fill_diagonal(sim, 1.0)
+    sim = similarity(term_matrix(chunks, min_df=1, max_share=0.9))
     imp = page_rank(sim)
     if n >= len(chunks):
         return list(range(len(chunks))), imp
@@ -118,10 +134,11 @@ STRATEGIES: dict[str, Callable[[list[str], int, float], tuple[list[int], np.ndar
 CHOICE = T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("importance", T.DoubleType()), T.StructField("chunk", T.StringType())]))
 
 
-def select_chunks(pages: DataFrame, key: str, chunks_col: str, n: int, strategy: str = "mmr", parameter: float = 0.5) -> DataFrame:
+def select_chunks(pages: DataFrame, key: str, chunks_col: str, n: int, strategy: str = "mmr", parameter: float = 0.5, preprocess: str = "none") -> DataFrame:
     """(key, rank, pos, importance, chunk) of the ``n`` chosen chunks of every page. ``parameter`` is the balance of the
-    first two strategies and the threshold of the third."""
-    choose = STRATEGIES[strategy]
+    first two strategies and the threshold of the third; ``preprocess`` names what chunks are reduced to before they are
+    compared. The chunks themselves come out as they were."""
+    choose, reduce = STRATEGIES[strategy], PREPROCESSORS[preprocess]
     kind = pa.list_(pa.struct([("rank", pa.int32()), ("pos", pa.int32()), ("importance", pa.float64()), ("chunk", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +146,7 @@ def select_chunks(pages: DataFrame, key: str, chunks_col: str, n: int, strategy:
             rows = []
             for chunks in batch.column(chunks_col).to_pylist():
                 chunks = [c for c in chunks or [] if c is not None]
-                picks, imp = choose(chunks, n, parameter) if chunks else ([], np.empty(0))
+                picks, imp = choose([reduce(c) for c in chunks], n, parameter) if chunks else ([], np.empty(0))
                 rows.append([{"rank": r + 1, "pos": i, "importance": round(float(imp[i]), 6), "chunk": chunks[i]} for r, i in enumerate(picks)])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, kind)], [key, "chosen"])
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweft.functions.text import word_count
+from claimweft.functions.text import plain_markdown, word_count
 from claimweft.models import ports
-from claimweft.operators.align import best_aligned
+from claimweft.operators.align import best_aligned, score_column
+from claimweft.operators.chunk import markdown_chunks
 from claimweft.operators.search import distinct_hits, top_per_key, without_own_page
 from claimweft.operators.select import select_chunks
 
@@ -29,16 +30,45 @@ def candidate_sources(claims: DataFrame, hits: DataFrame, pages: DataFrame, n: i
     return top_per_key(once.select("claimId", "hit_id", "url", "title", "snippet"), ["claimId"], n, F.asc("hit_id"))
 
 
+def _verdict(score: Column, threshold: float) -> Column:
+    return F.when(score < -threshold, "disagrees").when(score >= threshold, "agrees").otherwise("unrelated")
+
+
 def verify(claims: DataFrame, sources: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(id, hit_id, score, verdict, evidence): each source's best sentence for its claim, and what it says of it.
 
-    A source that can't be compared gets a score of 0 and a note; it doesn't stop the others."""
+    A source that can't be compared gets a score of 0 and no evidence; it doesn't stop the others. Sentences are scored in
+    place, and one of each pair is left before the only shuffle after the join."""
     pairs = claims.select("id", F.col("text").alias("claim")).join(sources.select(F.col("claimId").alias("id"), "hit_id", "snippet"), "id")
     parts = pairs.select("id", "hit_id", "claim", F.posexplode_outer(F.split("snippet", "(?<=[.!?…])\\s+")).alias("pos", "sentence"))
-    usable = parts.filter(F.length("sentence") >= 10)
-    best = best_aligned(usable, ["id", "hit_id", "claim"], "claim", "sentence", "pos", n=1)
-    scored = best.withColumn("nli", ports.port("compare", "overlap")(F.col("claim"), F.col("sentence")))
-    label = F.when(F.col("nli") < -threshold, "disagrees").when(F.col("nli") >= threshold, "agrees").otherwise("unrelated")
-    found = scored.select("id", "hit_id", F.col("nli").alias("score"), label.alias("verdict"), F.col("sentence").alias("evidence"))
-    rest = pairs.select("id", "hit_id").join(found.select("id", "hit_id"), ["id", "hit_id"], "left_anti")
-    return found.unionByName(rest.select("id", "hit_id", F.lit(0.0).alias("score"), F.lit("unrelated").alias("verdict"), F.lit(None).cast("string").alias("evidence")))
+    usable = F.when(F.length("sentence") >= 10, F.col("sentence"))
+    scored = parts.withColumn("sentence", usable).withColumn("sw", F.round(score_column(F.col("claim"), F.col("sentence")), 6))
+    best = scored.groupBy("id", "hit_id").agg(F.max_by(F.struct("claim", "sentence", "sw"), F.struct("sw", -F.col("pos"))).alias("b"))
+    met = best.select("id", "hit_id", "b.claim", F.when(F.col("b.sw") > 0, F.col("b.sentence")).alias("evidence"))
+    score = F.coalesce(ports.port("compare", "overlap")(F.col("claim"), F.col("evidence")), F.lit(0.0))
+    judged = met.withColumn("score", F.when(F.col("evidence").isNotNull(), score).otherwise(0.0))
+    return judged.select("id", "hit_id", "score", _verdict(F.col("score"), threshold).alias("verdict"), "evidence")
+
+
+def verify_sources(
+    claims: DataFrame, links: DataFrame, sources: DataFrame, n: int = 3, least: int = 250, threshold: float = 0.2, compare: str = "overlap", source: str = "source_id",
+) -> DataFrame:
+    """(id, source, score, verdict, evidence, note): what the text of each linked source says of a claim.
+
+    ``claims``: id, text; ``links``: id and source; ``sources``: source and markdown. A source is cut into chunks once,
+    however many claims it is held against; chunks of more than ``least`` characters count, as plain text of complete
+    sentences. Smith-Waterman ranks them for each claim, the port ``compare`` judges the first ``n``, and the strongest
+    judgement for or against the claim is kept. A source without text or without such a chunk keeps its row, with a score
+    of 0 and a note. Joins are by id and by source; a source that very many claims share is split by AQE."""
+    texts = sources.select(source, F.col("markdown").alias("_m"))
+    cut = texts.select(source, F.posexplode(markdown_chunks(F.col("_m"), least=least)).alias("pos", "c")).filter(F.length("c") > least)
+    plain = cut.select(source, "pos", F.array_join(ports.complete_sentences(plain_markdown("c")), " ").alias("chunk")).filter("chunk <> ''")
+    asked = links.select("id", source).distinct().join(claims.select("id", F.col("text").alias("claim")), "id")
+    ranked = best_aligned(asked.join(plain, source), ["id", source], "claim", "chunk", "pos", n)
+    judged = ranked.join(claims.select("id", F.col("text").alias("claim")), "id").withColumn("s", ports.port("compare", compare)(F.col("claim"), F.col("chunk")))
+    best = judged.groupBy("id", source).agg(F.max_by(F.struct("s", "chunk"), F.struct(F.abs("s"), -F.col("rank"))).alias("b"))
+    usable = texts.select(source, (F.length(F.coalesce("_m", F.lit(""))) >= 10).alias("_usable"))
+    every = asked.select("id", source).join(usable, source, "left").join(best, ["id", source], "left")
+    note = F.when(~F.coalesce("_usable", F.lit(False)), "no text").when(F.col("b").isNull(), "nothing alike")
+    score = F.coalesce("b.s", F.lit(0.0))
+    return every.select("id", source, score.alias("score"), _verdict(score, threshold).alias("verdict"), F.col("b.chunk").alias("evidence"), note.alias("note"))

@@ -31,21 +31,30 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` into the folder that all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that setting is absent (tests, one machine)
-    a temporary folder is set. The copy survives the loss of any executor.
+    The folder comes from ``spark.checkpoint.dir``; only where that setting is absent and the master is local (tests, one
+    machine) a temporary folder is set. The copy survives the loss of any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimweft-"))
+        sc.setCheckpointDir(_shared_base(spark))
     return df.checkpoint(eager=True)
 
 
+def _shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share; on a cluster that names none there is no safe place to write to."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="claimweft-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what streams write and read again, below the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="claimweft-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> SparkSession:

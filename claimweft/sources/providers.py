@@ -12,13 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweft.functions import text as X
-from claimweft.operators.search import ordered_union, prefer_branch
+from claimweft.operators.search import ordered_union, prefer_branch, top_per_key
 
 JSON_REPLY = "web struct<results: array<struct<url: string, title: string, description: string, meta_url: struct<hostname: string>>>>"
 
 
-def site_query(query: Column, site: Column) -> Column:
-    return F.when(F.coalesce(site, F.lit("")) != "", F.concat(F.lit("site:"), site, F.lit(" "), query)).otherwise(query)
+def site_query(query: Column, site: Column, style: str = "before") -> Column:
+    """The query restricted to a site: before it, after it, or after it without PDF files (``after_no_pdf``)."""
+    forms = {
+        "before": F.concat(F.lit("site:"), site, F.lit(" "), query), "after": F.concat(query, F.lit(" site:"), site),
+        "after_no_pdf": F.concat(query, F.lit(" site:"), site, F.lit(" -filetype:pdf")),
+    }
+    return F.when(F.coalesce(site, F.lit("")) != "", forms[style]).otherwise(query)
+
+
+def retried(attempts: DataFrame, query: str = "query", tries: int = 2) -> DataFrame:
+    """Of the attempts (query, attempt from 0, status) of each query the first that wasn't turned away for the moment (429,
+    500, 503), within ``tries``; a query of which all were has none."""
+    allowed = attempts.filter((F.col("attempt") < tries) & ~F.col("status").isin(429, 500, 503))
+    return allowed.groupBy(query).agg(F.min_by(F.struct("attempt", "status"), "attempt").alias("_a")).select(query, "_a.attempt", "_a.status")
 
 
 def result_count(n: Column) -> Column:
@@ -37,18 +49,33 @@ def json_hits(replies: DataFrame, query: str = "query", body: str = "body", flag
         query, *([flag] if flag else []), "pos", F.col("r.url").alias("url"), X.strip_tags(F.col("r.title")).alias("title"), X.strip_tags(F.coalesce("r.description", F.lit(""))).alias("snippet"), domain.alias("domain"))
 
 
+def item_hits(items: DataFrame, query: str = "query", domain: str | None = None) -> DataFrame:
+    """Rows of results: those with an address and a title, and of the wanted domain where one is given."""
+    valid = items.filter(F.try_parse_url("url", F.lit("HOST")).isNotNull() & (F.coalesce("title", F.lit("")) != ""))
+    return valid if domain is None else valid.filter((F.coalesce(F.col(domain), F.lit("")) == "") | X.in_domain(X.host("url"), F.col(domain)))
+
+
 def redirect_hits(results: DataFrame, query: str = "query", limit: int = 10, domain: str | None = None) -> DataFrame:
     """Result links behind a redirect: unwrapped, cut to ``limit``, and of the wanted domain. A query that the domain leaves
     without results keeps all of them."""
-    plain = results.withColumn("url", X.unwrap_redirect("url")).filter(F.col("pos") < limit)
-    if domain is None:
-        return plain
-    wanted = plain.filter(X.in_domain(X.host("url"), F.col(domain)))
-    return prefer_branch(ordered_union(wanted, plain), [query]).drop("branch")
+    return wide_hits(results.withColumn("url", X.unwrap_redirect("url")), query, limit, domain, wide=1)
+
+
+def wide_hits(results: DataFrame, query: str = "query", limit: int = 10, domain: str | None = None, wide: int = 2) -> DataFrame:
+    """The first ``wide`` times ``limit`` results with an address and, where there are titles, a title, of the wanted domain, then cut to ``limit``
+    of each query. A query that the domain leaves without results keeps its first ones."""
+    titled = F.coalesce("title", F.lit("")) != "" if "title" in results.columns else F.lit(True)
+    valid = results.filter((F.coalesce("url", F.lit("")) != "") & titled)
+    collected = top_per_key(valid, [query], wide * limit, F.asc("pos"), rank="_n").drop("_n")
+    kept = collected
+    if domain is not None:
+        wanted = collected.filter((F.coalesce(F.col(domain), F.lit("")) == "") | X.in_domain(X.host("url"), F.col(domain)))
+        kept = prefer_branch(ordered_union(wanted, collected), [query]).drop("branch")
+    return top_per_key(kept, [query], limit, F.asc("pos"), rank="_n").drop("_n")
 
 
 Adapter = Callable[..., DataFrame]
-PROVIDERS: dict[str, Adapter] = {"json": json_hits, "redirect": redirect_hits}
+PROVIDERS: dict[str, Adapter] = {"json": json_hits, "items": item_hits, "redirect": redirect_hits, "wide": wide_hits}
 
 
 def provider(name: str) -> Adapter:

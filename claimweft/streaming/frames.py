@@ -36,28 +36,34 @@ def ndjson_frames(bodies: DataFrame, keys: list[str], body: str = "body") -> Dat
     return _until_end(good, keys, F.get_json_object("data", "$.done") == "true")
 
 
-def claim_stream(deltas: DataFrame, key: str, n: int = 5, text: str = "text") -> DataFrame:
+def claim_stream(deltas: DataFrame, key: str, n: int = 5, text: str = "text", idle: str | None = None) -> DataFrame:
     """(key, claim_id, claim) from a stream of text deltas, each claim as soon as its object is closed.
 
-    The unread rest of the buffer is the state, so that no delta is scanned twice; a text that was seen doesn't come again;
-    after ``n`` claims a key is silent."""
+    The deltas of a micro-batch are put in order before they are read. The unread rest of the buffer is the state, so that
+    no delta is scanned twice; a text that was seen doesn't come again; after ``n`` claims a key is silent, and its buffer
+    is empty. With ``idle`` ("30 minutes") the state of a key that gets no delta for so long is dropped."""
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         buffer, seen, count = state.get if state.exists else ("", "[]", 0)
         known = json.loads(seen)
         out = []
-        for part in parts:
-            for delta in part.sort_values("seq")[text]:
-                buffer += delta or ""
-        for item in closed_objects(buffer):
-            claim = json.loads(item).get("text")
-            if isinstance(claim, str) and claim.strip() and claim.strip() not in known and count < n:
-                count += 1
-                known.append(claim.strip())
-                out.append((k[0], f"c{count}", claim.strip()))
-            buffer = "[" + buffer[buffer.index(item) + len(item):]
-        state.update((buffer, json.dumps(known), count))
+        if count < n:
+            buffer += "".join(d or "" for d in pd.concat(list(parts)).sort_values("seq", kind="stable")[text])
+            for item in closed_objects(buffer):
+                claim = json.loads(item).get("text")
+                if isinstance(claim, str) and claim.strip() and claim.strip() not in known and count < n:
+                    count += 1
+                    known.append(claim.strip())
+                    out.append((k[0], f"c{count}", claim.strip()))
+                buffer = "[" + buffer[buffer.index(item) + len(item):]
+        state.update(("" if count >= n else buffer, json.dumps(known), count))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[key, "claim_id", "claim"])
 
     kind = dict(deltas.dtypes)[key]
     return deltas.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, claim_id string, claim string", "buffer string, seen string, n int", "append", GroupStateTimeout.NoTimeout)
+        run, f"{key} {kind}, claim_id string, claim string", "buffer string, seen string, n int", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

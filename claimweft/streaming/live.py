@@ -73,13 +73,20 @@ def settled_stream(events: DataFrame, keys: list[str], gap: str, delay: str = "1
     """Debounce: the last value of each session of changes, once the watermark shows that it has settled. At the end of a
     table the last sessions stay open, unless ``replay`` closes them."""
     window = F.session_window("ts", gap)
-    return events.withWatermark("ts", delay).groupBy(*keys, window).agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("changes")).select(
+    # Time and id in one number: a struct as order isn't planned with session windows.
+    at = F.expr("cast(unix_micros(ts) as decimal(18, 0)) * cast('10000000000000000000' as decimal(20, 0)) + cast(event_id as decimal(19, 0))")
+    ordered = events.withColumn("_at", at).withWatermark("ts", delay)
+    return ordered.groupBy(*keys, window).agg(F.max_by("value", "_at").alias("value"), F.count("*").alias("changes")).select(
         *keys, F.col("session_window.start").alias("start"), "value", "changes")
 
 
-def state_stream(events: DataFrame, session: str) -> DataFrame:
-    """The state of each session after every micro-batch that touches it."""
+def state_stream(events: DataFrame, session: str, idle: str | None = None) -> DataFrame:
+    """The state of each session after every micro-batch that touches it. With ``idle`` ("30 minutes") the state of a session
+    without events for so long is dropped."""
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, n = (json.loads(state.get[0]), state.get[1]) if state.exists else (empty_state(), 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         clean = rows.astype(object).where(rows.notna(), None)
@@ -87,12 +94,14 @@ def state_stream(events: DataFrame, session: str) -> DataFrame:
             step(held, *r)
         n += len(rows)
         state.update((json.dumps(held), n))
+        if idle:
+            state.setTimeoutDuration(idle)
         seen = view(held)
         yield pd.DataFrame([{session: key[0], "n_events": n, "phase": seen["phase"], "n_claims": len(seen["claims"]), "done": seen["done"], "errors": seen["errors"]}])
 
     kind = dict(events.dtypes)[session]
     return events.groupBy(session).applyInPandasWithState(
-        run, f"{session} {kind}, n_events bigint, phase string, n_claims int, done int, errors int", "state string, n bigint", "update", GroupStateTimeout.NoTimeout)
+        run, f"{session} {kind}, n_events bigint, phase string, n_claims int, done int, errors int", "state string, n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:

@@ -256,3 +256,47 @@ def test_block_products_equal_the_join(spark, block):
     want = sorted(map(tuple, tfidf.cosine_top(w, asked, 4).select("query_id", "id", "score", "rank").collect()))
     assert sorted(map(tuple, tfidf.cosine_top_blocks(w, asked, 4, block=block, slice_rows=7).select("query_id", "id", "score", "rank").collect())) == want
     assert tfidf.cosine_top_blocks(w, asked.limit(0), 4).count() == 0
+
+
+def test_preprocessing_of_selectors():
+    assert select.without_stops("Der Rat, das Amt!") == "rat amt"
+    assert select.long_words("Der Rat in xy prüfte das") == "rat prüfte"
+    pages = ["The council met in the town hall.", "The council met in the old hall.", "Berries were frozen all winter."]
+    assert select.by_textrank([select.without_stops(p) for p in pages], 1, 1.0)[0] in ([0], [1])
+
+
+def test_source_texts_keep_their_rows(spark):
+    from claimweft.plans.pipeline import verify_sources
+
+    good = "The council in Anford was glad that it had repaired the old bridge within two weeks. " * 4
+    against = "It was said that the council in Anford has not repaired the old bridge within two weeks. " * 4
+    claims = spark.createDataFrame([("c1", "The council in Anford repaired the old bridge within two weeks."), ("c2", "Zzz qqq.")], "id string, text string")
+    sources = spark.createDataFrame([("a", good), ("b", None), ("c", "short"), ("d", "# Head\n\n" + against)], "source_id string, markdown string")
+    links = spark.createDataFrame([("c1", s) for s in "abcde"] + [("c2", "a"), ("c1", "a")], "id string, source_id string")
+    got = {(r.id, r.source_id): r for r in verify_sources(claims, links, sources).collect()}
+    assert len(got) == 6
+    assert got["c1", "a"].verdict == "agrees" and got["c1", "d"].verdict == "disagrees" and got["c1", "a"].note is None
+    assert [got["c1", s].note for s in "bce"] == ["no text"] * 3 and got["c2", "a"].note == "nothing alike" and got["c2", "a"].score == 0
+
+
+def test_provider_names_and_branches(spark):
+    from claimweft.sources import providers
+
+    assert sorted(providers.PROVIDERS) == ["items", "json", "redirect", "wide"]
+    with pytest.raises(ValueError):
+        providers.provider("other")
+    rows = spark.createDataFrame([("q", i, f"https://{h}.test/{i}", "t", "b.test") for i, h in enumerate("aaabb")], "query string, pos int, url string, title string, site string")
+    assert [r.pos for r in providers.wide_hits(rows, limit=2, domain="site").orderBy("pos").collect()] == [3]
+    assert [r.pos for r in providers.redirect_hits(rows, limit=2, domain="site").orderBy("pos").collect()] == [0, 1]
+    assert [r.pos for r in providers.item_hits(rows, domain="site").orderBy("pos").collect()] == [3, 4]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from claimweft.session import _shared_base
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    with pytest.raises(ValueError):
+        _shared_base(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert _shared_base(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file:")

@@ -115,3 +115,39 @@ def test_every_page_is_extracted(spark):
         html = f"<html><head><title>{escape(title)}</title></head><body><nav>Home News</nav><article><p>{escape(text)}".replace("\n", "</p><p>")
         want = extract(html + "</p><div class='related-links'><a href='/1'>More</a></div><script>var a = 1;</script></article><footer>end</footer></body></html>")
         assert got[page] == (want["title"], want["author"], want["word_count"])
+
+
+def test_markdown_rules_of_underlines_and_quotations(spark):
+    text = "Title\n---\n-\n--\n>no blank\n> quoted\n==\n===\n#tag stays\n## head goes\na  b"
+    assert one(spark, X.plain_markdown(F.lit(text))) == "Title\n\n-\n--\n>no blank\nquoted\n==\n\n#tag stays\n\na b".replace("\n\n", "\n")
+
+
+LONG = "word " * 100
+
+
+@pytest.mark.parametrize("kind", ["NewsArticle", "Article", "BlogPosting", "ReportageNewsArticle"])
+def test_marked_articles(kind):
+    got = extract(f"<body><main><p>{LONG}{LONG}</p></main><div itemtype='https://schema.org/{kind}'><p>{LONG}</p></div></body>")
+    assert got["strategy"] == "schema" and got["word_count"] == 100
+    assert extract(f"<body><main><p>{LONG}</p></main><div itemtype='https://schema.org/Recipe'><p>{LONG}</p></div></body>")["strategy"] == "main"
+    short = extract(f"<body><article>teaser</article><article><p>{LONG}</p></article><article>teaser</article></body>")
+    assert short["strategy"] == "article"
+
+
+def test_noise_goes_rule_by_rule():
+    html = """<body><nav><div class="share">in nav</div></nav><div class="Newsletter box"><aside>first</aside><p class="social">with it</p></div><header role="banner">b</header>
+    <section aria-label="More stories">m</section><div id="x-comments">c</div><div class="top-banner">t</div><div class="top-banner" role="img">kept</div><p class="sidebar promo">kept too</p></body>"""
+    got = extract(html)
+    # The aside goes before the box around it and counts; the paragraph in the box goes with it and doesn't.
+    assert got["text"] == "kept\nkept too" and got["noise_removed"] == 7
+
+
+def test_markdown_of_a_tree():
+    html = """<article><h2>Head <em>line</em></h2><p>One <b>bold</b> and <a href="/u">link</a>.<br>next</p><ol><li>a</li><li>b</li></ol><blockquote><p>q</p></blockquote>
+    <pre>x = 1
+ y</pre><p><img src="p.png" alt="pic"> <code>c</code> <del>d</del></p><hr>loose<table><tr><th>k</th><td>v</td></tr></table></article>"""
+    assert extract(html)["markdown"] == "## Head *line*\n\nOne **bold** and [link](/u).\nnext\n\n1. a\n2. b\n\n> q\n\n```\nx = 1\n y\n```\n\n![pic](p.png) `c` ~~d~~\n\n---\n\nloose\n\n| k | v |"
+
+
+def test_caps(spark):
+    assert one(spark, X.capped(F.lit("abcdef"), 3, "…")) == "abc…" and one(spark, X.capped(F.lit("abc"), 3, "…")) == "abc"
