@@ -14,7 +14,7 @@ from claimweft.operators.chunk import lines
 from claimweft.models import ports
 from claimweft.plans.pipeline import analyse, candidate_sources, verify, verify_sources
 from claimweft.sources import providers
-from claimweft.sources.tables import read_table
+from claimweft.sources.tables import read_table, spread
 
 GAP = 3_600_000
 
@@ -110,10 +110,8 @@ f AS (SELECT id, page_id, trim(regexp_replace(needle, '\\s+', ' ', 'g')) AS n, r
 SELECT page_id, count(*) AS claims, count(*) FILTER (exact > 0) AS exact, count(*) FILTER (exact > 0 OR len(list_filter(range(0, greatest(1, (length(n) - 24) // 8 + 1)), lambda i: strpos(flat, left(n, length(n) - 8 * i)) > 0)) > 0) AS found FROM f GROUP BY page_id""")
 def locate_shortened(spark: SparkSession, d: str) -> DataFrame:
     """Per page: claims, exact finds, and finds of all three stages."""
-    claims, pages = read_table(spark, d, "claim"), read_table(spark, d, "extracted_page")
-    every = locate.highlights(claims, pages).groupBy("page_id").agg(F.count("*").alias("claims"), F.count_if(F.col("start") >= 0).alias("found"))
-    exact = locate.highlights(claims, pages, exact_only=True).groupBy("page_id").agg(F.count_if("found").alias("exact"))
-    return every.join(exact, "page_id").select("page_id", "claims", "exact", "found")
+    found = locate.highlights(spread(read_table(spark, d, "claim")), read_table(spark, d, "extracted_page"))
+    return found.groupBy("page_id").agg(F.count("*").alias("claims"), F.count_if("exact").alias("exact"), F.count_if(F.col("start") >= 0).alias("found"))
 
 
 @query("""WITH l AS (SELECT page_id, string_split(text, chr(10)) AS a FROM extracted_page WHERE text IS NOT NULL), n AS (SELECT page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS chunk FROM l),

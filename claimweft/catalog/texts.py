@@ -80,7 +80,7 @@ def _sql_markdown(x: str) -> str:
 
 @query(f"SELECT page_id, md5({_sql_markdown('markdown')}) AS digest, length({_sql_markdown('markdown')}) AS n FROM extracted_page WHERE markdown IS NOT NULL")
 def md_plain(spark: SparkSession, d: str) -> DataFrame:
-    pages = read_table(spark, d, "extracted_page").filter("markdown is not null").select("page_id", X.plain_markdown("markdown").alias("t"))
+    pages = spread(read_table(spark, d, "extracted_page").select("page_id", "markdown").filter("markdown is not null")).select("page_id", X.plain_markdown("markdown").alias("t"))
     return pages.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 

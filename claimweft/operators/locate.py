@@ -22,28 +22,27 @@ def find(haystack: str | None, needle: str | None, step: int = 8, least: int = 2
     at = haystack.find(needle)
     if at >= 0:
         return at
-    collapsed, back, space = [], [], False
-    for i, c in enumerate(haystack):
-        if c.isspace():
-            if not space:
-                collapsed.append(" ")
-                back.append(i)
-            space = True
-        else:
-            collapsed.append(c)
-            back.append(i)
-            space = False
-    flat, want = "".join(collapsed), _SPACE.sub(" ", needle).strip()
+    flat, want = _SPACE.sub(" ", haystack), _SPACE.sub(" ", needle).strip()
     while want:
         at = flat.find(want)
         if at >= 0:
-            return back[at]
+            return _original(haystack, at)
         if len(want) - step < least:
             return -1
         want = want[:-step]
     return -1
 
 
+def _original(haystack: str, at: int) -> int:
+    """Where the place ``at`` of the collapsed text is in the text itself."""
+    gone = 0
+    for run in _SPACE.finditer(haystack):
+        if run.start() - gone >= at:
+            break
+        gone += run.end() - run.start() - 1
+    return at + gone
+
+
 @F.pandas_udf(T.IntegerType())
 def _find(haystack: pd.Series, needle: pd.Series) -> pd.Series:
     return pd.Series([find(h, n) for h, n in zip(haystack, needle)])
@@ -52,7 +51,7 @@ def _find(haystack: pd.Series, needle: pd.Series) -> pd.Series:
 def position(haystack: Column, needle: Column) -> Column:
     """The exact search stays in the JVM; only its misses are looked at again."""
     exact = F.instr(haystack, needle) - 1
-    return F.when(exact >= 0, exact).otherwise(_find(haystack, needle))
+    return F.when(exact >= 0, exact).otherwise(_find(F.when(exact < 0, haystack), needle))
 
 
 def exact_position(haystack: Column, needle: Column) -> Column:
@@ -66,13 +65,15 @@ def highlight_target(quote: Column, text: Column) -> Column:
 
 
 def highlights(claims: DataFrame, pages: DataFrame, exact_only: bool = False) -> DataFrame:
-    """(id, page_id, kind, start, end, found): where each claim's quotation stands on its page."""
+    """(id, page_id, kind, start, end, found, exact): where each claim's quotation stands on its page, and whether letter for
+    letter."""
     held = claims.select("id", "page_id", highlight_target(F.col("quote"), F.col("text")).alias("needle")).filter("needle is not null")
     met = held.join(pages.select("page_id", F.col("text").alias("page")), "page_id")
     at = exact_position(F.col("page"), F.col("needle")) if exact_only else position(F.col("page"), F.col("needle"))
     placed = met.withColumn("start", at)
     found = (F.col("start") >= 0) & (F.col("start") + F.length("needle") <= F.length("page"))
-    return placed.select("id", "page_id", F.lit("claim").alias("kind"), "start", (F.col("start") + F.length("needle")).alias("end"), found.alias("found"))
+    return placed.select("id", "page_id", F.lit("claim").alias("kind"), "start", (F.col("start") + F.length("needle")).alias("end"), found.alias("found"),
+        (exact_position(F.col("page"), F.col("needle")) >= 0).alias("exact"))
 
 
 def running_offsets(parts: DataFrame, key: str, pos: str = "pos", text_col: str = "chunk") -> DataFrame:

@@ -70,19 +70,13 @@ def cosine_top_k(
 ) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest rows of each query, exactly; ties go to the lower id.
 
-    ``queries`` is read in blocks of QUERY_BLOCK vectors, each of which takes one pass over ``rows``.
+    ``queries`` is read in blocks of QUERY_BLOCK vectors; a block is packed into its broadcast before the next is read, and
+    takes one pass over ``rows``.
     """
     spark, found = rows.sparkSession, None
     kind = rows.schema[id_col].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    block, blocks = [], []
-    for row in queries.select(id_col, vec_col).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    for held in blocks:
+    for held in _blocks(queries.select(id_col, vec_col)):
         shared = spark.sparkContext.broadcast(([q for q, _ in held], unit(np.array([v for _, v in held], np.float64)) if held else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -105,18 +99,35 @@ def cosine_top_k(
     return top_per_key(found, ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
+def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """Rows in blocks of QUERY_BLOCK; one block is held at a time, and at least one, empty or not, is made."""
+    block: list[tuple] = []
+    for k, row in enumerate(queries.toLocalIterator(), 1):
+        block.append((row[0], row[1]))
+        if k % QUERY_BLOCK == 0:
+            yield block
+            block = []
+    yield block
+
+
+def _mean_vector(vectors: Column) -> Column:
+    """Aggregate: the mean of vectors of doubles; null vectors don't count."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.mean(F.when(vectors.isNotNull(), array_to_vector(vectors))))
+
+
 def mean_similarity(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", out_col: str = "importance") -> DataFrame:
     """Mean cosine of each row to all rows, itself included: the product with the mean of all unit vectors, so no pairs."""
     units = rows.select(id_col, normalised(F.col(vec_col)).alias("_unit"))
-    parts = units.select(F.posexplode("_unit").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    centre = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_centre"))
+    centre = units.agg(_mean_vector(F.col("_unit")).alias("_centre"))
     return units.crossJoin(F.broadcast(centre)).select(id_col, dot(F.col("_unit"), F.col("_centre")).alias(out_col))
 
 
 def centroids(rows: DataFrame, group: str, vec_col: str = "embedding") -> DataFrame:
-    """(group, centre): mean vector of each group, summed by coordinate before the shuffle."""
-    parts = rows.select(group, F.posexplode(as_double(F.col(vec_col))).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
-    return parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    """(group, centre): mean vector of each group; whole vectors are summed in each partition before the shuffle."""
+    return rows.select(group, as_double(F.col(vec_col)).alias("_v")).groupBy(group).agg(_mean_vector(F.col("_v")).alias("centre"))
 
 
 def representatives(

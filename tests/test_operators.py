@@ -240,11 +240,11 @@ def test_hashed_vectors(spark):
 
 
 def test_copies_of_a_third_of_all_rows_are_neighbours(spark, tmp_path):
-    from claimweft.catalog.analytics import tfidf_neighbours_whole
+    from claimweft.catalog.analytics import tfidf_neighbours
 
     rows = [(i, "shared letter about river water" if i % 3 == 0 else f"note{i // 10} on topic{i % 7} near place{i % 5}") for i in range(0, 303)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = {(r.query_id, r.rank): (r.id, r.score) for r in tfidf_neighbours_whole(spark, f"file://{tmp_path}").collect()}
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in tfidf_neighbours(spark, f"file://{tmp_path}").collect()}
     assert [got[0, k] for k in range(1, 6)] == [(3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0), (15, 1.0)]
     assert [got[300, k] for k in range(1, 6)] == [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0)]
 
