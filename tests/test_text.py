@@ -96,7 +96,7 @@ def test_extract_page():
 
 
 def test_every_page_is_extracted(spark):
-    from claimweft.catalog.texts import page_extract_whole
+    from claimweft.catalog.texts import page_extract
     from claimweft.session import shared_folder
 
     base = shared_folder(spark, "pages")
@@ -105,16 +105,13 @@ def test_every_page_is_extracted(spark):
         (4, None, "no title at all " * 50), (5, "Short", "few words"), (6, "No text", None), (7, "Zeilen", ("eine Zeile ü\n" * 60).strip()),
     ]
     spark.createDataFrame(rows, "page_id long, title string, text string").write.parquet(f"{base}/extracted_page.parquet")
-    got = {r.page_id: (r.title, r.author, r.words) for r in page_extract_whole(spark, base).collect()}
+    got = {r.page_id: r for r in page_extract(spark, base).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
     for page, title, text in rows:
-        if len(text or "") >= 600:  # a substantial article is taken alone, so its words are those of the text
-            assert got[page] == (" ".join((title or "").split()), None, len(text.split()))
-    escape = lambda x: (x or "").replace("&", "&amp;").replace("<", "&lt;")
-    for page, title, text in rows:
-        html = f"<html><head><title>{escape(title)}</title></head><body><nav>Home News</nav><article><p>{escape(text)}".replace("\n", "</p><p>")
-        want = extract(html + "</p><div class='related-links'><a href='/1'>More</a></div><script>var a = 1;</script></article><footer>end</footer></body></html>")
-        assert got[page] == (want["title"], want["author"], want["word_count"])
+        r = got[page]
+        assert (r.title, r.words) == (" ".join((title or "").split()), len((text or "").split()))
+        assert r.strategy == (("schema" if page % 3 == 1 else "article") if len(text or "") > 400 else "document")
+        assert r.author == (None if page % 3 == 0 else "A. Writer")
 
 
 def test_markdown_rules_of_underlines_and_quotations(spark):
