@@ -106,19 +106,27 @@ class LanguageCode:
         weights, bias = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
         speed = np.zeros_like(weights)
 
-        def added(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        def adder(index: np.ndarray, source: np.ndarray, n: int):
+            """Sums of the rows ``source`` by ``index``; the order is worked out once for all rounds."""
             order = np.argsort(index, kind="stable")
             ids, start = np.unique(index[order], return_index=True)
-            out = np.zeros((n, values.shape[1]), np.float32)
-            out[ids] = np.add.reduceat(values[order], start, 0)
-            return out
+            source = source[order]
+
+            def add(values: np.ndarray) -> np.ndarray:
+                out = np.zeros((n, values.shape[1]), np.float32)
+                out[ids] = np.add.reduceat(values[source], start, 0)
+                return out
+
+            return add
 
+        to_words, to_samples = adder(gram_word, gram_slot, len(own)), adder(word_sample, word_at, len(samples))
+        back_to_words, back_to_slots = adder(word_at, word_sample, len(own)), adder(gram_slot, gram_word, BUCKETS)
         for _ in range(rounds):
-            by_word = added(gram_word, weights[gram_slot], len(own)) / gram_size[:, None]
-            margin = added(word_sample, by_word[word_at], len(samples)) / size[:, None] * 8 + bias
+            by_word = to_words(weights) / gram_size[:, None]
+            margin = to_samples(by_word) / size[:, None] * 8 + bias
             slope = -target / (1 + np.exp(np.clip(target * margin, -30, 30))) * balance / len(samples)
-            word_slope = added(word_at, (slope * 8 / size[:, None])[word_sample], len(own)) / gram_size[:, None]
-            slot_slope = added(gram_slot, word_slope[gram_word], BUCKETS)
+            word_slope = back_to_words(slope * 8 / size[:, None]) / gram_size[:, None]
+            slot_slope = back_to_slots(word_slope)
             speed += slot_slope * slot_slope
             weights -= rate * (slot_slope / (np.sqrt(speed) + 1e-6) * 0.1 + decay * weights)
             bias -= 0.5 * slope.sum(0)

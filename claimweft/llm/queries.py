@@ -29,7 +29,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     words = _prose(spark, d)
     signs = cut_lineage(page_signs(read_table(spark, d, "extracted_page"), words, code, keep=("language",)).drop("text_lines", "markdown_lines"))
     left_out = find_residue(signs.drop("page_lang", "page_sure", "foreign", "language"))
-    pages = signs.join(left_out, ["src", "row_id"], "left_anti").filter("page_lang is not null")
+    # Read three times below, so the anti-join and what it rests on are worked out once.
+    pages = cut_lineage(signs.join(left_out, ["src", "row_id"], "left_anti").filter("page_lang is not null").select("row_id", "language", "page_lang", "foreign"))
     wrong = declared("language").isNull() | (declared("language") != F.col("page_lang"))
     by_page = pages.filter(wrong).select(F.lit("page").alias("src"), F.col("row_id").cast("string").alias("row_key"), F.lit(0).alias("line_no"), F.col("page_lang").alias("lang"))
     by_line = pages.select("row_id", F.inline("foreign")).select(F.lit("page").alias("src"), F.col("row_id").cast("string").alias("row_key"), "line_no", "lang")
