@@ -9,11 +9,13 @@ An n-gram model is trained on prose and gives each text two perplexities; both t
   that turns a few keywords over and over is abnormally predictable, though its classes may be those of prose: its
   perplexity is abnormally low.
 
-Both bounds come from the prose sample. The first is judged for each segment (a sentence, or lines that follow each other
+Both bounds come from the prose. The first is judged for each segment (a sentence, or lines that follow each other
 without an end mark), the second for each stretch; means of few words are drawn to those of prose, so that small pieces
 need stronger signs and no length is left out. A page is a case where most of its words lie in abnormal pieces.
 
-The model is fitted on bounded tables of prose (``max_rows`` rows at most are read); everything else is computed per text.
+The model is fitted on all distinct rows of the tables of prose, in passes over them: function words, classes, trigram
+counts, bounds. What reaches the driver are classes, their trigrams and a line for each length of a stretch, so its size
+follows the number of classes, not of rows. Everything else is computed per text.
 
 Cases: null, empty and blank texts are no case and give no row; a text of one very long line is one segment per sentence
 end; repeated rows are scored alike; extra columns are ignored. Languages without samples have no function words and look
@@ -26,25 +28,28 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweft.llm.samples import bounded_sample
+from claimweft.session import cut_lineage
 
 _PARTS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]|_+")
 _LINK = re.compile(r"https?:|www\.|[\w-]+\.[a-z]{2,}/|href=", re.I)
 _LETTERS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _NUMBER = re.compile(r"\d[\d.,:%]*\Z")
 END, OPEN, BREAK = ".", "<open>", "\n"  # the marks that end a sentence, the end of a line without one, and what leads a segment
 #: Whitespace tokens kept per Python worker.
 MEMO = 300_000
 #: Texts that are scored together.
 SLICE = 512
+#: Sums over prose are of values rounded to so much, a power of two, so that they are exact and don't depend on the order.
+GRAIN = 2.0**-20
 #: Least probability of a class: a single odd mark can't make a sentence odd.
 FLOOR = 1e-4
 #: Content words that follow each other without a function word are told apart up to this many.
@@ -101,56 +106,91 @@ def classes_of(token: str, function_words: frozenset[str]) -> list[str]:
     return out
 
 
-def function_words_of(sentences: Iterable[tuple[str, str]], top: int = 45) -> frozenset[str]:
-    """The words found in most sentences of each language."""
-    by: dict[str, Counter] = {}
-    for lang, text in sentences:
-        words = {w.lower() for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text or "")}
-        by.setdefault(lang, Counter()).update(w for w in words if len(w) <= 6)
-    return frozenset(w for c in by.values() for w, n in c.most_common(top) if n > 1)
+def function_words_of(sentences: DataFrame, top: int = 45) -> frozenset[str]:
+    """The words found in most sentences (lang, text) of each language; ties go to the first in the alphabet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                n.update((lang, w) for w in {w.lower() for w in _WORDS.findall(text)} if len(w) <= 6)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(n.values(), pa.int64())], ["lang", "word", "n"])
+
+    counted = sentences.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, word string, n long")
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    ranked = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("rank", F.row_number().over(first))
+    return frozenset(r[0] for r in ranked.filter(F.col("rank") <= top).select("word").collect())
+
+
+def kinds_of(prose: DataFrame, function_words: frozenset[str]) -> list[str]:
+    """All classes of the texts, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        kinds: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                new = set(text.split()) - seen
+                kinds.update(c for token in new for c in classes_of(token, function_words))
+                seen |= new
+                if len(seen) > MEMO:
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(kinds), pa.string())], ["kind"])
+
+    return sorted({r[0] for r in prose.mapInArrow(run, "kind string").distinct().collect()} | {END, OPEN, BREAK, *RUNNING})
 
 
 class ProseModel:
     """Interpolated (Witten-Bell) trigrams over classes, as sorted keys and costs in numpy, and the bounds of both tails."""
 
-    def __init__(self, function_words: frozenset[str], texts: Iterable[str]):
-        self.function_words, texts = function_words, list(texts)
-        kinds = sorted({c for text in texts for token in text.split() for c in classes_of(token, function_words)} | {END, OPEN, BREAK, *RUNNING})
+    def __init__(self, function_words: frozenset[str], kinds: list[str]):
+        self.function_words = function_words
         self.raw = {c: i + 1 for i, c in enumerate(kinds)}  # 0: a class that prose doesn't have
         self.running = np.array([False, *(c in RUNNING for c in kinds)])
         self.resets = np.array([False, *(c == BREAK or c in function_words for c in kinds)])
         self.size = (len(kinds) + 1) * (RUN + 1)
-        pages = Reader(self).pages(texts)
-        one, two, three = Counter(), Counter(), Counter()
-        for part in np.split(pages.ids, np.flatnonzero(pages.leads)[2::2]):
-            part = part.tolist()
-            one.update(part[2:])
-            two.update(zip(part[1:], part[2:]))
-            three.update(zip(part, part[1:], part[2:]))
-        total = max(1, sum(one.values()))
-        self.p1 = np.full(self.size, 0.05 / total)
-        for c, n in one.items():
-            self.p1[c] = n / total
-        after, kinds_after = Counter(), Counter()
-        for (a, _), n in two.items():
-            after[a] += n
-            kinds_after[a] += 1
-        self.back2 = np.ones(self.size)
-        for a in after:
-            self.back2[a] = kinds_after[a] / (after[a] + kinds_after[a])
-        self.k2, self.v2 = self._sorted({a * self.size + b: n / (after[a] + kinds_after[a]) for (a, b), n in two.items()})
-        pair, kinds_pair = Counter(), Counter()
-        for (a, b, _), n in three.items():
-            pair[a, b] += n
-            kinds_pair[a, b] += 1
-        self.kb, self.vb = self._sorted({a * self.size + b: kinds_pair[a, b] / (pair[a, b] + kinds_pair[a, b]) for a, b in pair})
-        self.k3, self.v3 = self._sorted({(a * self.size + b) * self.size + c: n / (pair[a, b] + kinds_pair[a, b]) for (a, b, c), n in three.items()})
-        self.mean, self.word_mean = float(self.costs(pages).sum() / total), -math.log((1 - CACHE) / VOCABULARY)
-        if len(pages.content):
-            self.word_mean = float(pages.word_costs().mean())
-        means, stretches = self.class_means(pages), self.stretch_means(pages)
-        self.high = float(means.mean() + HIGH * means.std()) if len(means) else self.mean
-        self.low = LOW * float(stretches.min(initial=self.word_mean))
+        self.learn(np.empty(0, np.int64), np.empty(0, np.int64))
+        self.bound(np.empty((0, 5)))
+
+    def learn(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Costs from how often each trigram occurs; ``keys`` are sorted."""
+        total = max(1, int(n.sum()))
+        one = np.bincount(keys % self.size, n, self.size)
+        self.p1 = np.where(one > 0, one, 0.05) / total
+        self.k2, at = np.unique(keys % self.size**2, return_inverse=True)
+        two, before = np.bincount(at, n, len(self.k2)), self.k2 // self.size
+        after, kinds_after = np.bincount(before, two, self.size), np.bincount(before, minlength=self.size)
+        self.back2 = np.where(kinds_after > 0, kinds_after / np.maximum(1, after + kinds_after), 1.0)
+        self.v2 = two / (after + kinds_after)[before]
+        self.kb, at = np.unique(keys // self.size, return_inverse=True)
+        pair, kinds_pair = np.bincount(at, n, len(self.kb)), np.bincount(at, minlength=len(self.kb))
+        self.vb = kinds_pair / (pair + kinds_pair)
+        self.k3, self.v3 = keys, n / (pair + kinds_pair)[at]
+        self.mean = float((self.nats(keys) * n).sum() / total)
+
+    def bound(self, sums: np.ndarray) -> None:
+        """Both bounds from the lines of ``sums_of``, added up for each length."""
+        length, n, total, squares, least = sums.T
+        held = length > 0
+        self.word_mean = -math.log((1 - CACHE) / VOCABULARY)
+        if held.any():
+            self.word_mean = float(total[held].sum() / (length * n)[held].sum())
+        self.low = LOW * float(((least + WORD_PRIOR * self.word_mean) / (length + WORD_PRIOR))[held].min(initial=self.word_mean))
+        self.high = self.mean
+        if not held.all():
+            mean, square = (float(x[~held].sum() / n[~held].sum()) for x in (total, squares))
+            self.high = mean + HIGH * math.sqrt(max(0.0, square - mean * mean))
+
+    def sums_of(self, pages: Pages) -> list[np.ndarray]:
+        """The columns of ``SUMS``. Under length 0: the number of segments, the sums of their means and of the squares of
+        these. Under each length of a stretch: the number of such stretches, the sum of their costs, and the least."""
+        means, stretch = self.class_means(pages), np.bincount(pages.stretch, pages.word_costs())
+        each = np.append(np.zeros(len(means), np.int64), np.bincount(pages.stretch))
+        length, at, n = np.unique(each, return_inverse=True, return_counts=True)
+        total, squares = (np.bincount(at, np.rint(x / GRAIN) * GRAIN, len(length)) for x in (np.append(means, stretch), np.append(means * means, np.zeros(len(stretch)))))
+        least = np.full(len(length), np.inf)
+        np.minimum.at(least, at, np.append(means, stretch))
+        return [length, n, total, squares, least]
 
     def class_means(self, pages: Pages) -> np.ndarray:
         """Nats a class of each segment, drawn to those of prose."""
@@ -161,25 +201,30 @@ class ProseModel:
         n = np.bincount(pages.stretch)
         return (np.bincount(pages.stretch, pages.word_costs()) + WORD_PRIOR * self.word_mean) / (n + WORD_PRIOR)
 
-    @staticmethod
-    def _sorted(table: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(sorted(table) or [-1], np.int64)
-        return keys, np.array([table.get(k, 0.0) for k in keys.tolist()])
-
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, at: np.ndarray, default: float) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(at), default)
         slot = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
         return np.where(keys[slot] == at, values[slot], default)
 
-    def costs(self, pages: Pages) -> np.ndarray:
-        """Nats per class; the two breaks that lead each segment cost nothing."""
+    def keys(self, pages: Pages) -> np.ndarray:
+        """Each class with the two before it, as one number."""
         c = pages.ids
         a, b = np.append([0, 0], c)[:len(c)], np.append(0, c)[:len(c)]
-        key, back = np.unique((a * self.size + b) * self.size + c, return_inverse=True)
+        return (a * self.size + b) * self.size + c
+
+    def nats(self, key: np.ndarray) -> np.ndarray:
+        """Nats of a class after the two before it."""
         c, b, ab = key % self.size, key // self.size % self.size, key // self.size
         p2 = self._look(self.k2, self.v2, b * self.size + c, 0.0) + self.back2[b] * self.p1[c]
         p3 = self._look(self.k3, self.v3, key, 0.0) + self._look(self.kb, self.vb, ab, 1.0) * p2
-        return np.where(pages.leads, 0.0, -np.log(np.maximum(p3, FLOOR))[back])
+        return -np.log(np.maximum(p3, FLOOR))
+
+    def costs(self, pages: Pages) -> np.ndarray:
+        """Nats per class; the two breaks that lead each segment cost nothing."""
+        key, back = np.unique(self.keys(pages), return_inverse=True)
+        return np.where(pages.leads, 0.0, self.nats(key)[back])
 
 
 class Pages(NamedTuple):
@@ -334,16 +379,44 @@ class Scorer:
         return [n, share(high | low), share(high), share(low), nats, word_nats]
 
 
-def fit_prose_model(samples: DataFrame, passages: DataFrame | None = None, sentences: DataFrame | None = None, max_rows: int = 4_000) -> ProseModel:
+SUMS = {"length": pa.int64(), "n": pa.int64(), "total": pa.float64(), "squares": pa.float64(), "least": pa.float64()}
+
+
+def over_prose(prose: DataFrame, model: ProseModel, of: Callable[[ProseModel, Pages], list[np.ndarray]], columns: dict[str, pa.DataType]) -> DataFrame:
+    """What ``of`` gives for each slice of texts, as rows of ``columns``."""
+    shared = prose.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for batch in (big.slice(a, SLICE) for big in batches for a in range(0, big.num_rows, SLICE)):
+            values = of(shared.value, reader.pages(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(values, columns.values())], list(columns))
+
+    return prose.mapInArrow(run, ", ".join(f"{name} {'long' if kind == pa.int64() else 'double'}" for name, kind in columns.items()))
+
+
+def trigrams_of(model: ProseModel, pages: Pages) -> list[np.ndarray]:
+    return list(np.unique(model.keys(pages)[~pages.leads], return_counts=True))
+
+
+def fit_prose_model(samples: DataFrame, passages: DataFrame | None = None, sentences: DataFrame | None = None) -> ProseModel:
     """``samples``: lang, text of right-labelled sentences; ``passages``: text whose first line is an instruction;
-    ``sentences``: text of further prose. Of each at most ``max_rows`` rows are used, the first by the hash of the text."""
-    rows = [(r[0], r[1]) for r in bounded_sample(samples, ["lang", "text"], max_rows)]
-    texts = [t for _, t in rows]
+    ``sentences``: text of further prose. All rows of each are used, repeated ones once."""
+    rows = samples.select("lang", "text").filter("text is not null").distinct()
+    prose = rows.select("text")
     if passages is not None:
-        texts += [r[0].partition("\n")[2] for r in bounded_sample(passages, ["text"], max_rows)]
+        whole = passages.select("text").filter("text is not null").distinct()
+        prose = prose.unionByName(whole.select(F.expr(r"substr(text, length(substring_index(text, '\n', 1)) + 2)").alias("text")))
     if sentences is not None:
-        texts += [r[0] for r in bounded_sample(sentences, ["text"], max_rows)]
-    return ProseModel(function_words_of(rows), texts)
+        prose = prose.unionByName(sentences.select("text").filter("text is not null").distinct())
+    prose = cut_lineage(prose)  # read three times below
+    function_words = function_words_of(rows)
+    model = ProseModel(function_words, kinds_of(prose, function_words))
+    counted = over_prose(prose, model, trigrams_of, {"key": pa.int64(), "n": pa.int64()}).groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    model.learn(counted.column("key").to_numpy(), counted.column("n").to_numpy())
+    sums = over_prose(prose, model, ProseModel.sums_of, SUMS).groupBy("length").agg(F.sum("n"), F.sum("total"), F.sum("squares"), F.min("least"))
+    model.bound(np.array([list(r) for r in sums.orderBy("length").collect()], float).reshape(-1, len(SUMS)))
+    return model
 
 
 def find_stuffed(docs: DataFrame, model: ProseModel, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -220,6 +221,43 @@ def test_scores_do_not_depend_on_neighbours(spark, prose):
     assert np.allclose(together, alone)
 
 
+def test_the_prose_model_is_that_of_all_rows(spark):
+    draw = random.Random(7)
+    words = [f"{a}{b}" for a in ("river", "council", "Bridge", "tariff", "ledger", "Harbour") for b in ("", "ed", "ing", "s", "ly")] + ["the", "of", "and", "was"] * 6
+    texts = {" ".join(draw.choices(words, k=draw.randint(4, 30))) + draw.choice((".", "!", "", "; then 12.")) for _ in range(9_000)}
+    texts |= {f"Row {i} was marked {c} by the council." for i, c in enumerate("§%&+=<>@|$")} | {f"Bridge {i} of the bridge, the bridge. " * 40 for i in range(3)}
+    labelled = [("en", f"the council of the river and {w} was late.") for w in words[:30]]
+    samples, passages = spark.createDataFrame(labelled, "lang string, text string"), spark.createDataFrame([("Read this.\nThe mayor\nwas late.",), ("No passage",)], "text string")
+    sentences = spark.createDataFrame([(t,) for t in sorted(texts)] + [(None,)], "text string")
+    model = spam.fit_prose_model(samples, passages, sentences)
+    assert len(texts) > 8_000 and set("§%&+=<>@|$") <= set(model.raw) and {"the", "of", "and", "was", "late"} <= model.function_words
+
+    pages = spam.Reader(model).pages([*dict.fromkeys(t for _, t in labelled), "The mayor\nwas late.", "", *sorted(texts)])
+    ids, at = pages.ids.tolist(), np.flatnonzero(~pages.leads).tolist()
+    one, two, three = Counter(ids[i] for i in at), Counter(tuple(ids[i - 1:i + 1]) for i in at), Counter(tuple(ids[i - 2:i + 1]) for i in at)
+    after, kinds, pair, pair_kinds = Counter(), Counter(a for a, _ in two), Counter(), Counter(k[:2] for k in three)
+    for (a, _), n in two.items():
+        after[a] += n
+    for k, n in three.items():
+        pair[k[:2]] += n
+
+    def nats(a, b, c):
+        p2 = (two[b, c] + kinds[b] * one[c] / len(at)) / (after[b] + kinds[b])
+        return -np.log(max(spam.FLOOR, (three[a, b, c] + pair_kinds[a, b] * p2) / (pair[a, b] + pair_kinds[a, b])))
+
+    costs = model.costs(pages)
+    assert np.allclose(costs[at], [nats(*ids[i - 2:i + 1]) for i in at]) and costs[pages.leads].sum() == 0
+    means, stretches = model.class_means(pages), model.stretch_means(pages)
+    assert np.allclose([model.mean, model.word_mean], [costs.sum() / len(at), pages.word_costs().mean()])
+    assert np.allclose([model.high, model.low], [means.mean() + spam.HIGH * means.std(), spam.LOW * stretches.min()], rtol=1e-5)
+
+    # Neither the order of rows nor repeated rows matter.
+    again = spam.fit_prose_model(samples.union(samples), passages, sentences.union(sentences).repartition(5))
+    assert (again.mean, again.word_mean, again.high, again.low, again.raw) == (model.mean, model.word_mean, model.high, model.low, model.raw)
+    nothing = spam.fit_prose_model(samples.limit(0), passages.limit(0), sentences.limit(0))
+    assert spam.find_stuffed(sentences.limit(1).withColumn("doc_id", F.lit(1)), nothing).count() == 1
+
+
 @pytest.fixture(scope="module")
 def prose(spark):
     return spam.fit_prose_model(table(spark, "lang_sample"), table(spark, "eval_item"), table(spark, "claim"))
